@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,10 +39,6 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def code_points(text: Column) -> Column:
-    return F.length(F.coalesce(text, F.lit("")))
-
-
 def utf8(column) -> list[bytes]:
     """The values of an Arrow string column as UTF-8, nulls as empty ones."""
     import pyarrow as pa
@@ -52,3 +50,23 @@ def utf8(column) -> list[bytes]:
 def slices(rows: int, size: int) -> int:
     """How many parts of about `size` rows."""
     return max(1, -(-rows // size))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the driver's file server give this package to all Python workers, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "sieveline_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context.sieveline_shipped = True
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow, with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import slices, stash, utf8
+from sieveline.llm.common import mapped, ship, slices, stash, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 40
             doc, k, at, n, crc = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, n, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
+    return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), cut, PIECES)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +142,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def pack(cut: DataFrame, max_len: int = 4096, shard_rows: int = 16384) -> DataFrame:
     """The pieces with sequence_id and offset. `cut` is read twice, so it should be stored."""
+    ship(cut.sparkSession)
     shards = slices(cut.count(), shard_rows)
 
     def solve(pdf):
