@@ -14,6 +14,7 @@ document and its tokens, and a shard of piece lengths.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -27,37 +28,75 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Token ids as little-endian bytes, by white-space separated word; exact for a tokenizer that drops white space.
+    """Token ids as little-endian bytes, by white-space separated word; exact for a tokenizer that lower-cases, drops white space
+    and splits letters from what is neither letter nor digit.
 
-    The cache is emptied when it holds `limit` words; words of over 64 bytes are not kept.
+    Words of letters are encoded together, and their ids are split after those tokens that end a word; marks after a word
+    are looked up apart. Other words, and all if the split doesn't fit, are encoded one by one. The table is emptied when it
+    holds `limit` words; words of over 64 bytes are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = list(set(words).difference(self.known))
-        ids = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        found = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, ids, strict=True)}
-        if len(self.known) + len(found) > self.limit:
-            self.known = {}
-            if len(found) < len(set(words)):
-                return self.encode(text) if len(set(words)) <= self.limit else self._whole(words)
-        out = b"".join([found[w] if w in found else self.known[w] for w in words])
-        self.known.update((w, t) for w, t in found.items() if len(w) <= 64)
+        self.plain = Tokenizer.from_file(path)  # the same for words of a-z, which need no normalisation and stand for their own bytes
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.marked = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)").fullmatch
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [(x if b"<|" in x else x.lower()).split() for x in texts]  # ASCII letters; a special token's string stays as it is
+        known = self.known
+        new = set().union(*split).difference(known)
+        if new:
+            if len(known) + len(new) > self.limit:
+                known = self.known = {}
+                new = set().union(*split)
+            known.update(self._ids(new))
+        out = [b"".join(map(known.__getitem__, x)) for x in split]
+        for word in new:
+            if len(word) > 64:
+                del known[word]
         return out
 
-    def _whole(self, words: list[bytes]) -> bytes:
-        out = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return b"".join(np.asarray(e.ids, "<u4").tobytes() for e in out)
+    def _ids(self, new: set[bytes]) -> dict[bytes, bytes]:
+        parts = {w: m.groups() for w in new if (m := self.marked(w)) and m[1].decode().isalpha()}
+        letters = [w for w in new.union(*(p[:1] for p in parts.values())).difference(parts) if w.decode().isalpha() and (not w.isascii() or w.islower())]
+        found = self._together([w for w in letters if w.isascii()], self.plain) | self._together([w for w in letters if not w.isascii()], self.tokenizer)
+        one = list(new.union(*(p[1:] for p in parts.values())).difference(parts, found))
+        found.update(zip(one, self._each(one), strict=True))
+        found.update((w, found[a] + found[b]) for w, (a, b) in parts.items())
+        return found
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _together(self, words: list[bytes], tokenizer) -> dict[bytes, bytes]:
+        if not words:
+            return {}
+        ids = np.asarray(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return dict(zip(words, self._each(words), strict=True))
+        raw, at = ids.tobytes(), [0, *ends.tolist()]
+        return {w: raw[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
+
+
+def runs(texts: list[bytes], size: int):
+    """The texts in lists of about `size` bytes."""
+    own, total = [], 0
+    for text in texts:
+        own.append(text)
+        total += len(text)
+        if total >= size:
+            yield own
+            own, total = [], 0
+    if own:
+        yield own
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,8 +115,9 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 40
         words, end = WordTokens(path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             docs, out = batch.column(0).to_pylist(), []
-            for doc, text in zip(docs, utf8(batch.column(1)), strict=True):
-                ids = words.encode(text) + end
+            encoded = (ids for own in runs(utf8(batch.column(1)), 1 << 20) for ids in words.encode(own))
+            for doc, ids in zip(docs, encoded, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * max_len)):
                     own = ids[at : at + 4 * max_len]
                     out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
