@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's features are itself and its character n-grams of 3 to 5 with the ends marked, hashed into `buckets`; its embedding is the mean
-of theirs, a text's the mean of its words', and a linear softmax over it gives the two classes. So an unseen misspelling shares
+of theirs, a text's the mean of its distinct words', and a linear softmax over it gives the two classes. Buckets that hardly move the logit are pruned. So an unseen misspelling shares
 most of its vectors with the word. Embeddings and softmax are trained together by AdaGrad, on a bounded sample of labelled rows: at
 most `per_class` of each class, the first by a hash of the id. As everything is linear, a trained word is one number, and a text's logit is
 the mean of its words' numbers plus a constant; all words of all texts count.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import mapped, utf8
 from sieveline.llm.language import held_out
 
-BUCKETS, DIMS, PER_CLASS, KNOWN = 1 << 15, 8, 2000, 200_000
+BUCKETS, DIMS, PER_CLASS, KNOWN, KEPT = 1 << 17, 4, 2000, 200_000, 500
 SALT = 17
 
 
@@ -37,7 +37,8 @@ def features(word: str, buckets: int = BUCKETS) -> list[int]:
 
 
 def words(text: bytes) -> list[str]:
-    return text.decode("utf-8", "replace").lower().split()
+    """The distinct words, in order of their first place: a word that fills a text counts once."""
+    return list(dict.fromkeys(text.decode("utf-8", "replace").lower().split()))
 
 
 class Remembered(dict):
@@ -78,34 +79,45 @@ def bags(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return mapped(docs.select("doc_id", "toxic", "text"), of, "doc_id long, toxic int, places array<int>, weights array<float>")
 
 
-def fit(rows: list, buckets: int = BUCKETS, dims: int = DIMS, epochs: int = 12, batch: int = 32, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def descend(rows: list, buckets: int, dims: int, epochs: int, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Each bucket's number and the constant. rows: (toxic, places, weights)."""
     rng = np.random.default_rng(7)
-    e, w, b = rng.normal(0, 0.1, (buckets, dims)).astype(np.float32), rng.normal(0, 0.1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
-    sums = [np.full_like(x, 1e-8) for x in (e, w, b)]
+    e, w, b = np.zeros((buckets, dims), np.float32), rng.normal(0, 0.1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
+    sums = [np.full_like(x, 1e-6) for x in (e, w, b)]
     y = np.fromiter((r[0] for r in rows), np.int64, len(rows))
     weight = len(rows) / (2 * np.maximum(1, np.bincount(y, minlength=2)))
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             own = order[at : at + batch]
-            cols, place = np.unique(np.concatenate([rows[i][1] for i in own]), return_inverse=True)
-            x = np.zeros((len(own), len(cols)), np.float32)
-            x[np.repeat(np.arange(len(own)), [len(rows[i][1]) for i in own]), place] = np.concatenate([rows[i][2] for i in own])
-            h = x @ e[cols]
+            places, x = np.concatenate([rows[i][1] for i in own]), np.concatenate([rows[i][2] for i in own])[:, None]
+            row = np.repeat(np.arange(len(own)), [len(rows[i][1]) for i in own])
+            h = np.stack([np.bincount(row, v, len(own)) for v in (x * e[places]).T], 1)
             z = h @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1
             p *= (weight[y[own]] / len(own))[:, None]
-            grads = (x.T @ (p @ w.T), h.T @ p, p.sum(0))
-            for k, (v, g) in enumerate(zip((e, w, b), grads, strict=True)):
-                at_ = cols if k == 0 else slice(None)
-                sums[k][at_] += g * g
-                v[at_] -= rate * g / np.sqrt(sums[k][at_])
+            up = (p @ w.T)[row] * x
+            of_e = np.stack([np.bincount(places, v, buckets) for v in up.T], 1)
+            for v, total, g in zip((e, w, b), sums, (of_e, h.T @ p, p.sum(0)), strict=True):
+                total += (g * g).astype(np.float32)
+                v -= (rate * g / np.sqrt(total)).astype(np.float32)
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0])
 
 
+def fit(rows: list, buckets: int = BUCKETS, dims: int = DIMS, epochs: tuple[int, int] = (10, 60), kept: int = KEPT) -> tuple[np.ndarray, float]:
+    """Trained twice: the second time with the `kept` buckets alone that moved the first model's logits most over the sample."""
+    first, _ = descend(rows, buckets, dims, epochs[0])
+    moved = np.zeros(buckets)
+    for _, places, weights in rows:
+        moved[places] += weights.astype(np.float64) ** 2
+    strong = np.zeros(buckets, bool)
+    strong[np.argsort(-np.abs(first) * np.sqrt(moved), kind="stable")[:kept]] = True
+    fewer = [(y, places[on], weights[on]) for y, places, weights in rows for on in [strong[places]]]
+    return descend(fewer, buckets, dims, epochs[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float] | None:
     """docs and labels: those to learn from. Only the sampled ids and their bags come to the driver."""
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
