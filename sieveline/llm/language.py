@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.llm.common import mapped, utf8
 
@@ -108,13 +109,13 @@ def train(docs: DataFrame, dims: int = 512, text_col: str = "text", lang_col: st
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score; `keep`: more columns to carry along unchanged."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score; `keep`: more columns to carry along unchanged; with_text: the text too, as `own_text`."""
     names = list(prototypes)
     dims = len(next(iter(prototypes.values()))) if names else 1
     rows = np.array([p / (np.linalg.norm(p) or 1) for p in prototypes.values()], np.float32).reshape(-1, dims)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("own_text"), *keep)
-    schema = own.drop("own_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*(own if with_text else own.drop("own_text")).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def of(batches):
         import pyarrow as pa
@@ -130,7 +131,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                     known = names and norm[i] > 0
                     langs.append(names[best[i]] if known else UND)
                     scores.append(min(1.0, max(0.0, float(cos[i, best[i]]))) if known else 0.0)
-            kept = [c for i, c in enumerate(batch.columns) if i != 1]
+            kept = [c for i, c in enumerate(batch.columns) if with_text or i != 1]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
     return mapped(own, of, schema)

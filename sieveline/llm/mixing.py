@@ -103,12 +103,31 @@ def thresholds(docs: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
     return state
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (size times copies), one row per document."""
-    narrow = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size")).withColumn("hash", hash_of(F.col("doc_id"))))
+def plan(narrow: DataFrame, weights: Sequence[float], cap: int) -> tuple[DataFrame, bool]:
+    """The sources' targets, epochs and thresholds, and whether they are too many to broadcast. `narrow`: stored source, size, hash."""
     sizes = stash(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
     many = sizes.count() > MOST_SOURCES
-    state = thresholds(narrow, targets(sizes, weights, cap), many)
-    copies = (F.col("epochs") + (F.col("hash") < F.col("threshold")).cast("int")).alias("copies")
-    out = attach(narrow, state.select("source", "source_size", "target", "epochs", "threshold"), many)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return thresholds(narrow, targets(sizes, weights, cap), many).select("source", "source_size", "target", "epochs", "threshold"), many
+
+
+def copies() -> Column:
+    return F.when(F.col("size") > 0, F.col("epochs") + (F.col("hash") < F.col("threshold")).cast("int")).otherwise(0)
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), *more).withColumn("hash", hash_of(F.col("doc_id")))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (size times copies), one row per document."""
+    narrow = stash(sized(docs, id_col, text_col, source_col))
+    state, many = plan(narrow, weights, cap)
+    out = attach(narrow, state, many).select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"))
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, columns: Sequence[str] = ("text", "lang", "n_chars"), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: doc_id, source and `columns` of each document, as many times as it is taken. Texts are not shuffled."""
+    state, many = plan(stash(sized(docs, id_col, text_col, source_col)), weights, cap)
+    rows = attach(sized(docs, id_col, text_col, source_col, *columns), state, many).withColumn("copies", copies())
+    return rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "source", *columns)
