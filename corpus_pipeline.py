@@ -1,25 +1,62 @@
-"""From documents to packed sequences, stage by stage."""
+"""From documents to packed sequences: five stages, each of which takes what the one before it kept.
+
+All stages but the last return the columns of documents. A text that is null or has no letter is rejected by the first; of each group of near
+duplicates the document of the smallest id stays (rows without an id stay, rows that share an id are one document); passages
+that repeat anywhere are cut out in whole characters and texts that nothing is left of go; mixing repeats or leaves out
+documents; packing gives the pieces of what remains.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import packing
-from sieveline.llm.common import table
+from sieveline.llm import language, mixing, packing, simhash, suffix_dedup
+from sieveline.llm.common import stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what no language can be told of."""
+    found = language.predict(docs, language.train(docs), keep=("lang", "source", "n_chars"), with_text=True)
+    return found.filter(F.col("lang_pred") != language.UND).withColumnRenamed("own_text", "text").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(docs, length=200, whole_characters=True, keep=("lang", "source"))
+    kept = found.withColumn("text", F.decode("kept", "UTF-8")).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.filter(F.trim("text") != "").select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs).select(COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-two-fit packing", pack)]
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: Profiles, SimHash links, suffix arrays and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
