@@ -83,9 +83,9 @@ def cut(docs: DataFrame, length: int, inner: int) -> DataFrame:
                     for x, y in zip(out, (key, own.view(np.int64), n, first, twice), strict=True):
                         x.append(y)
             if rows:
-                taken = batch.take(pa.array(np.concatenate(rows)))
+                place = pa.array(np.concatenate(rows))
                 key, seg, n, first, twice = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(key), pa.array(seg), pa.array(n.astype(np.int32)), pa.array(first), pa.array(twice)], ["id", "mark", "key", "seg", "starts", "start", "twice"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(key), pa.array(seg), pa.array(n.astype(np.int32)), pa.array(first), pa.array(twice)], ["id", "mark", "key", "seg", "starts", "start", "twice"])
 
     return mapped(docs, of, "id long, mark int, key long, seg long, starts int, start long, twice boolean")
 
