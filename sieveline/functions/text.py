@@ -22,6 +22,11 @@ MONEY = rf"(?iuU){_AMOUNT}{SPACE}*(?:{_AFTER})|(?:{_BEFORE}){SPACE}*{_AMOUNT}"
 LONG_NUMBER = rf"(?U){NO_WORD_BEFORE}\d{{4,}}{NO_WORD_AFTER}"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value made once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def chars(text: Column) -> Column:
     """The characters of the text as an array; none for ''."""
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))

@@ -40,12 +40,13 @@ def word_grams(text: Column, bigrams: bool = True) -> Column:
 
 def term_counts(docs: DataFrame, id_col: str, grams: Column) -> DataFrame:
     """doc, term, tf. Counted inside the row before rows are made, so that repeats never meet a shuffle."""
-    sorted_ = docs.select(F.col(id_col).alias("doc"), F.array_sort(grams).alias("grams"))
-    n = F.size("grams")
-    firsts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.get("grams", i - 1) != F.get("grams", i - 2)))
-    rows = sorted_.filter(n > 0).select("doc", "grams", firsts.alias("at"), n.alias("n"))
-    term = F.transform("at", lambda a, k: F.struct(F.get("grams", a - 1).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("n") + 1) - a).alias("tf")))
-    return rows.select("doc", F.explode(term).alias("t")).select("doc", "t.term", "t.tf")
+
+    def counted(g: Column) -> Column:
+        n = F.size(g)
+        firsts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(g, i - 1) != F.get(g, i - 2))))
+        return T.once(firsts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(g, a - 1).alias("term"), (F.coalesce(F.get(at, k + 1), n + 1) - a).alias("tf"))))
+
+    return docs.select(F.col(id_col).alias("doc"), F.explode(T.once(F.sort_array(grams), counted)).alias("t")).select("doc", "t.term", "t.tf")
 
 
 def vocabulary(counts: DataFrame, min_df: int = 2, most: int | None = None) -> DataFrame:

@@ -75,10 +75,12 @@ def pick(values: list[str], *key) -> Column:
 
 def replace_first(text: Column, pattern: str, new) -> Column:
     """new: from the match to its replacement. Without a match the text stays."""
-    found = F.regexp_substr(text, F.lit(pattern))
-    at = F.locate_column(found, text) if hasattr(F, "locate_column") else F.position(found, text)
-    changed = F.concat(F.substring(text, F.lit(1), at - 1), new(found), F.substring(text, at + F.length(found), F.length(text)))
-    return F.when(found.isNull() | (found == ""), text).otherwise(changed)
+
+    def changed(m: Column) -> Column:
+        at = F.position(m, text)
+        return F.when(F.coalesce(m, F.lit("")) == "", text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), new(m), F.substring(text, at + F.length(m), F.length(text))))
+
+    return T.once(F.regexp_substr(text, F.lit(pattern)), changed)
 
 
 def swap_phone(text: Column, key: Column) -> Column:
@@ -179,6 +181,7 @@ def augment(seeds: DataFrame, n: int = 16) -> DataFrame:
     which holds 12n rows whatever the number of seeds.
     """
     rows = seeds.select("*", F.explode(F.sequence(F.lit(0), F.lit(12 * n))).alias("_try"))
+    rows = rows.repartition("id", "_try")  # few seeds may fill one partition; their attempts are the work
     key, lang, scam = F.concat_ws("|", "id", "_try"), F.col("lang"), F.col("label") == "scam"
     steps = [("a1", 0.7, lambda t: swap_phone(t, key)), ("a2", 0.7, lambda t: swap_host(t, key, scam)), ("a3", 0.6, lambda t: swap_amount(t, key)), ("a4", 0.5, lambda t: greet(t, key, lang)), ("a5", 0.45, lambda t: arabic_keyboard(t, key, lang)), ("a6", 0.35, lambda t: swap_digits(t, key)), ("a7", 0.22, lambda t: partly_latin(t, key)), ("a8", 0.5, lambda t: spacing(t, key)), ("a9", 0.4, lambda t: punctuation(t, key))]
     made = F.array("text")
