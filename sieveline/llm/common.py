@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file:///tmp/checkpoints/sieveline"
+    return f"file://{own_dir()}"
+
+
+@lru_cache(1)
+def own_dir() -> str:
+    """A folder of this process, gone when it ends."""
+    path = f"/tmp/checkpoints/sieveline-{os.getpid()}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def stash(df: DataFrame) -> DataFrame:
