@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import knn, language, mixing, packing, simhash, suffix_dedup, syncmers, toxicity, url_rules
+from sieveline.llm import knn, language, mixing, packing, quality, simhash, suffix_dedup, syncmers, toxicity, url_rules
 from sieveline.llm.common import table
 
 #: The rules that op7 applies: verdict, host, path.
@@ -46,6 +46,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_language_id": op6_language_id,
     "op7_url_rules": op7_url_rules,
+    "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_best_two_fit": op10_best_two_fit,
 }
