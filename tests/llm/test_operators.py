@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sieveline.llm import knn, language, mixing, packing, simhash, suffix_dedup, syncmers, toxicity, url_rules
+from sieveline.llm import knn, language, mixing, packing, quality, simhash, suffix_dedup, syncmers, toxicity, url_rules
 from sieveline.llm.suffix_array import repeats, suffix_array
 
 DOCS = "doc_id long, text string, source string, lang string, key long, hash string"
@@ -272,6 +272,30 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0), spark.createDataFrame(rules, "verdict string, host string, path string")).count() == 0
 
 
+# op8
+
+
+def test_quality(spark, none):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 40) if i % 4 else "*** | " * rng.randint(5, 30), ["a", "b", None][i % 3], None) for i in range(300)] + [(400, None, "new", "x"), (401, "", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("host", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)] + [(1, None), (5, 7), (None, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert len(got) == 302 and all(got[i]["predicted"] == int(i % 4 > 0) for i in range(300) if got[i]["held_out"])
+    assert got[400]["path_posterior"] == got[400]["host_posterior"]
+    unlabelled = quality.classify(docs, labels.limit(0))
+    assert {r["score"] for r in unlabelled.collect()} == {0.5}
+    assert quality.classify(none, labels).count() == 0
+
+
+def test_sites_shrink_toward_their_parents(spark):
+    rows = [("h", "p", 1)] * 90 + [("h", "p", 0)] * 10 + [("h", "q", 0)] + [("i", "p", 0)] * 60 + [("i", "p", 1)] * 40
+    hosts, paths, rate = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, good int"))
+    host, path = dict(hosts.collect()), {(r[0], r[1]): r[2] for r in paths.collect()}
+    assert rate == pytest.approx(130.5 / 202) and 0.4 < host["i"] < rate < host["h"] < 90 / 101
+    assert 0 < path["h", "q"] < host["h"] and path["h", "q"] > 0.2
+
+
 # op9
 
 
