@@ -163,7 +163,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             if len(first):
                 at = np.searchsorted(have, wide - first, side="right") - 1
                 second = have[at]
-                alone = (second == first) & np.asarray([len(waiting[int(x)]) < 2 for x in first])
+                alone = second == first
+                for i in np.flatnonzero(alone).tolist():
+                    alone[i] = len(waiting[int(first[i])]) < 2
                 second = np.where(alone, np.where(at > 0, have[np.maximum(at - 1, 0)], 0), second)
                 fit = np.where((second > 0) & ((second != first) | ~alone), first + second, 0)
                 best = int(np.argmax(fit))
