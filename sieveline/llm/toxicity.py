@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import string
-import zlib
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,16 +24,23 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import mapped, utf8
 from sieveline.llm.language import held_out
 
-BUCKETS, DIMS, PER_CLASS, KNOWN, KEPT = 1 << 17, 4, 2000, 200_000, 500
+BUCKETS, DIMS, PER_CLASS, KNOWN, KEPT = 1 << 17, 4, 2000, 400_000, 500
 SALT = 17
 
 
+def bare(word: str) -> str:
+    return word.strip(string.punctuation) or word
+
+
 def features(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of the word and of its n-grams, of whole words of up to 64 characters and of the n-grams of all."""
-    bare = word.strip(string.punctuation) or word
-    marked = f"<{bare}>"
-    grams = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode(), SALT) % buckets for g in grams]
+    marked = f"<{bare(word)}>"
+    if marked.isascii():  # its bytes are its characters
+        raw = marked.encode()
+        grams = [raw, *(raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1))]
+    else:
+        grams = [g.encode() for g in (marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)))]
+    return [crc32(g, SALT) % buckets for g in grams]
 
 
 def words(text: bytes) -> list[str]:
@@ -42,13 +49,14 @@ def words(text: bytes) -> list[str]:
 
 
 class Remembered(dict):
-    """What a function gives for short words; emptied when it holds too many."""
+    """What a function gives for short words, marks at their ends aside; emptied when it holds too many."""
 
     def __init__(self, function):
         self.function = function
 
     def __missing__(self, word):
-        out = self.function(word)
+        own = bare(word)
+        out = self[own] if own != word else self.function(word)
         if len(word) <= 64:
             if len(self) >= KNOWN:
                 self.clear()
@@ -124,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     first = [own.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
     picked = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * per_class rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = [(r["toxic"], np.asarray(r["places"]), np.asarray(r["weights"], np.float32)) for r in sorted(bags(texts.join(picked, "doc_id")).toLocalIterator(), key=lambda r: (r["doc_id"], r["places"]))]
+    found = bags(texts.join(picked, "doc_id")).toArrow().combine_chunks().sort_by("doc_id")  # columns of numbers, not Python objects
+    rows = [(y, p.values.to_numpy(), w.values.to_numpy()) for y, p, w in zip(found["toxic"].to_pylist(), found["places"], found["weights"], strict=True)]
     if len({r[0] for r in rows}) < 2:
         return None
     return fit(rows)
@@ -138,8 +147,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str =
     def of(batches):
         import pyarrow as pa
 
-        values = shared.value
-        known = Remembered(lambda w: float(values[features(w, len(values))].mean()))
+        values = shared.value.tolist()
+        number = values.__getitem__
+        known = Remembered(lambda w: sum(map(number, own := features(w, len(values)))) / len(own))
         for batch in batches:
             scores = []
             for text in utf8(batch.column(1)):
