@@ -370,3 +370,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
         seen.append(kept.count())
         assert k == 4 or kept.columns == corpus_pipeline.COLUMNS, name
     assert docs.count() - 3 == seen[0] > seen[1] >= seen[2] > 0 and seen[4] >= seen[3]
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e = (words(rng, 80) for _ in range(5))
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (None, b, "en", "t"), (2, c, "en", "s"), (7, c, "en", "s"), (7, d, "en", "s"), (3, e, "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (None, b), (2, c), (7, d), (3, e)], key=str)
+    cut = corpus_pipeline.cut_repeated_passages(spark, kept, "")
+    assert sorted(r["text"] for r in cut.collect()) == sorted([a, b, c, d, e])  # each is over 200 bytes
