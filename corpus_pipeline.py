@@ -1,7 +1,7 @@
 """From documents to packed sequences: five stages, each of which takes what the one before it kept.
 
 All stages but the last return the columns of documents. A text that is null or has no letter is rejected by the first; of each group of near
-duplicates exactly one row stays, that of the smallest id (rows without an id come last, ids need not be unique); passages
+duplicates (0.8 of five-word shingles) exactly one row stays, that of the smallest id (rows without an id come last, ids need not be unique); passages
 that repeat anywhere are cut out in whole characters and texts that nothing is left of go; mixing repeats or leaves out
 documents; packing gives the pieces of what remains.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import language, mixing, packing, simhash, suffix_dedup
+from sieveline.llm import language, mixing, packing, shingles, suffix_dedup
 from sieveline.llm.common import stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,9 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group: rows, not ids, are grouped; a row's key is a 64-bit hash of all its columns and of which are null."""
     key = F.xxhash64(*(F.col(c).isNull() for c in COLUMNS), *COLUMNS)
     rows = docs.select(*COLUMNS, key.alias("row"))
-    groups = simhash.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
-    counted = groups.groupBy("row", "component").agg(F.count("*").alias("n"))  # equal rows are one key
-    named = counted.join(rows.select("row", "doc_id").distinct(), "row")
+    counted = stash(rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")))  # equal rows are one key
+    named = counted.join(shingles.groups(rows), "row")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n")).alias("first"))
     chosen = stash(first.select("first.row", "first.n"))
     once = rows.join(chosen.filter("n = 1").select("row").hint("shuffle_hash"), "row", "left_semi")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sieveline.llm import knn, language, mixing, packing, quality, simhash, suffix_dedup, syncmers, toxicity, url_rules
+from sieveline.llm import knn, language, mixing, packing, quality, shingles, simhash, suffix_dedup, syncmers, toxicity, url_rules
 from sieveline.llm.suffix_array import repeats, suffix_array
 
 DOCS = "doc_id long, text string, source string, lang string, key long, hash string"
@@ -383,3 +383,37 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (None, b), (2, c), (7, d), (3, e)], key=str)
     cut = corpus_pipeline.cut_repeated_passages(spark, kept, "")
     assert sorted(r["text"] for r in cut.collect()) == sorted([a, b, c, d, e])  # each is over 200 bytes
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("most", [1 << 22, 300])
+def test_groups_of_similar_shingles(spark, most):
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):
+        own = words(rng, 150).split()
+        texts.append(" ".join(own))
+        for n in (1, 2, 3, 4):  # changed words, of similarities about 0.8 to 0.93 and less
+            other = list(own)
+            for i in range(n):
+                other[10 + 30 * i] = f"changed{k}x{n}x{i}"
+            texts.append(" ".join(other))
+    texts += ["", "one two", "One  two", "one two three", texts[0].upper()]
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    found = {r["row"]: r["component"] for r in shingles.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), most).collect()}
+    assert len(found) == len(texts) and len(set(root)) == 83  # four changed words are too many
+    assert len(set(zip(root, (found[i] for i in range(len(texts))), strict=True))) == len(set(root)) == len(set(found.values()))
