@@ -1,6 +1,6 @@
 """From documents to packed sequences: five stages, each of which takes what the one before it kept.
 
-All stages but the last return the columns of documents. A text that is null or has no letter is rejected by the first; of each group of near
+All stages but the last return the columns of documents. A text that is null, has no letter or is in no known language is rejected by the first, which sets lang; of each group of near
 duplicates (0.8 of five-word shingles) exactly one row stays, that of the smallest id (rows without an id come last, ids need not be unique); passages
 that repeat anywhere are cut out in whole characters and texts that nothing is left of go; mixing repeats or leaves out
 documents; packing gives the pieces of what remains.
@@ -18,9 +18,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what no language can be told of."""
-    found = language.predict(docs, language.train(docs), keep=("lang", "source", "n_chars"), with_text=True)
-    return found.filter(F.col("lang_pred") != language.UND).withColumnRenamed("own_text", "text").select(COLUMNS)
+    """Rejects texts without letters and those too unlike all languages for their size; lang becomes the language told, `und` if none is trained."""
+    prototypes = language.train(docs)
+    found = stash(language.predict(docs, prototypes, keep=("lang", "source", "n_chars"), with_text=True, with_size=True))
+    found = found.withColumn("bin", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
+    least = language.thresholds(found) if prototypes else {}
+    sure = F.lit(True)
+    for size, score in least.items():
+        sure = sure & ((F.col("bin") != size) | (F.col("score") >= score))
+    return found.filter((F.col("size") > 0) & sure).select("doc_id", F.col("own_text").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

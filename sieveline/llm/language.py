@@ -60,17 +60,21 @@ def bound(numbers: np.ndarray, dims: int) -> np.ndarray:
 
 def bundles(texts: list[bytes], dims: int) -> np.ndarray:
     """The hypervector of each text; zeros if it has no letter."""
-    each = [trigrams(x) for x in texts]
+    return bundled([trigrams(x) for x in texts], dims)
+
+
+def bundled(each: list[np.ndarray], dims: int) -> np.ndarray:
+    """The same of the trigrams of each text."""
     numbers = np.concatenate(each)
     if not len(numbers):
-        return np.zeros((len(texts), dims), np.float32)
+        return np.zeros((len(each), dims), np.float32)
     seen = np.zeros(SYMBOLS**3, bool)
     seen[numbers] = True
     own = np.flatnonzero(seen)
     place = np.empty(SYMBOLS**3, np.int32)
     place[own] = np.arange(len(own))
-    row = np.repeat(np.arange(len(texts)), [len(x) for x in each])
-    counts = np.bincount(row * len(own) + place[numbers], minlength=len(texts) * len(own)).reshape(len(texts), len(own))
+    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    counts = np.bincount(row * len(own) + place[numbers], minlength=len(each) * len(own)).reshape(len(each), len(own))
     return counts.astype(np.float32) @ bound(own, dims).astype(np.float32)
 
 
@@ -109,21 +113,24 @@ def train(docs: DataFrame, dims: int = 512, text_col: str = "text", lang_col: st
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score; `keep`: more columns to carry along unchanged; with_text: the text too, as `own_text`."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, with_size: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score; `keep`: more columns to carry along unchanged; with_text: the text too, as `own_text`; with_size: `size`, its
+    number of trigrams."""
     names = list(prototypes)
     dims = len(next(iter(prototypes.values()))) if names else 1
     rows = np.array([p / (np.linalg.norm(p) or 1) for p in prototypes.values()], np.float32).reshape(-1, dims)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("own_text"), *keep)
-    schema = T.StructType([*(own if with_text else own.drop("own_text")).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(own if with_text else own.drop("own_text")).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("size", T.LongType())] if with_size else [])])
 
     def of(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts, langs, scores = utf8(batch.column(1)), [], []
+            texts, langs, scores, sizes = utf8(batch.column(1)), [], [], []
             for a, b in parts(texts):
-                h = bundles(texts[a:b], dims) if names else np.zeros((b - a, dims), np.float32)
+                each = [trigrams(x) for x in texts[a:b]] if names or with_size else []
+                sizes += map(len, each)
+                h = bundled(each, dims) if names else np.zeros((b - a, dims), np.float32)
                 norm = np.linalg.norm(h, axis=1)
                 cos = h @ rows.T / np.maximum(norm, 1e-9)[:, None] if names else np.zeros((b - a, 1))
                 best = cos.argmax(1)
@@ -132,11 +139,37 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                     langs.append(names[best[i]] if known else UND)
                     scores.append(min(1.0, max(0.0, float(cos[i, best[i]]))) if known else 0.0)
             kept = [c for i, c in enumerate(batch.columns) if with_text or i != 1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([pa.array(sizes, pa.int64())] if with_size else [])], schema.names)
 
     return mapped(own, of, schema)
 
 
+def thresholds(found: DataFrame, lang_col: str = "lang", enough: int = 100) -> dict[int, float]:
+    """The least score of a text in a known language, by the whole base-2 logarithm of its number of trigrams.
+
+    Half the cosine that 99 in 100 of the training rows of that size reach; sizes of fewer rows than `enough` take those of shorter texts
+    along, whose cosines are lower. Sizes that are not named have no threshold. `found`: predict's rows with size and lang_col.
+    """
+    known = found.filter(F.col(lang_col).isNotNull() & (F.col("size") > 0)).withColumn("bin", F.floor(F.log2("size")).cast("int"))
+    steps = known.groupBy("bin", F.round("score", 3).alias("score")).agg(F.count("*").alias("n")).orderBy("bin", "score").collect()  # at most 1001 a size
+    by_bin, out = {}, {}
+    for r in steps:
+        by_bin.setdefault(r["bin"], []).append((r["score"], r["n"]))
+    for last in by_bin:
+        pooled, first = [], last
+        while first >= 0 and sum(n for _, n in pooled) < enough:
+            pooled += by_bin.get(first, [])
+            first -= 1
+        total, upto = sum(n for _, n in pooled), 0
+        if total >= enough:
+            for score, n in sorted(pooled):
+                upto += n
+                if 100 * upto >= total:
+                    out[last] = score / 2
+                    break
+    return out
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 

@@ -417,3 +417,19 @@ def test_groups_of_similar_shingles(spark, most):
     found = {r["row"]: r["component"] for r in shingles.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), most).collect()}
     assert len(found) == len(texts) and len(set(root)) == 83  # four changed words are too many
     assert len(set(zip(root, (found[i] for i in range(len(texts))), strict=True))) == len(set(root)) == len(set(found.values()))
+
+
+def test_language_stage_decides(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    clean = [(i, words(rng, 60, "the of and ing" if i % 2 else "ung der sch ein"), "en" if i % 2 else "de") for i in range(300)]
+    odd = [(300, words(rng, 60, "при вет как дел"), None), (301, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), None), (302, "12 34", "en"), (303, None, "en")]
+    unnamed = [(400, words(rng, 60, "the of and ing"), None), (401, words(rng, 60, "ung der sch ein"), "en")]
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+        return {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+
+    assert kept(clean + odd + unnamed) == {i: lang for i, _, lang in clean} | {400: "en", 401: "de"}
+    assert set(kept([(i, t, None) for i, t, _ in clean + odd])) == {i for i in range(302)}  # nothing is trained
