@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's features are itself and its character n-grams of 3 to 5 with the ends marked, hashed into `buckets`; its embedding is the mean
-of theirs, a text's the mean of its distinct words', and a linear softmax over it gives the two classes. Buckets that hardly move the logit are pruned. So an unseen misspelling shares
-most of its vectors with the word. Embeddings and softmax are trained together by AdaGrad, on a bounded sample of labelled rows: at
+of theirs, a text's the mean of its distinct words', and a linear softmax over it gives the two classes. All buckets count. So an unseen misspelling shares
+most of its vectors with the word. Embeddings and softmax are trained together by AdaGrad, with a squared penalty on the embeddings that cross-validation on the training rows chooses, on a bounded sample of labelled rows: at
 most `per_class` of each class, the first by a hash of the id. As everything is linear, a trained word is one number, and a text's logit is
 the mean of its words' numbers plus a constant; all words of all texts count.
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import mapped, utf8
 from sieveline.llm.language import held_out
 
-BUCKETS, DIMS, PER_CLASS, KNOWN, KEPT = 1 << 17, 4, 2000, 400_000, 500
+BUCKETS, DIMS, PER_CLASS, KNOWN = 1 << 17, 4, 2000, 400_000
+#: Penalties on the embeddings to choose from.
+PENALTIES = (0.0, 1e-4, 1e-3)
 SALT = 17
 
 
@@ -87,43 +89,58 @@ def bags(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return mapped(docs.select("doc_id", "toxic", "text"), of, "doc_id long, toxic int, places array<int>, weights array<float>")
 
 
-def descend(rows: list, buckets: int, dims: int, epochs: int, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Each bucket's number and the constant. rows: (toxic, places, weights)."""
+def descend(rows: list, buckets: int, dims: int, steps: int, penalty: float = 0.0, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Each bucket's number and the constant. rows: (toxic, places, weights).
+
+    The penalty is half of `penalty` times the squared embeddings that a batch touches. About `steps` batches are taken, in whole rounds.
+    """
     rng = np.random.default_rng(7)
     e, w, b = np.zeros((buckets, dims), np.float32), rng.normal(0, 0.1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
-    sums = [np.full_like(x, 1e-6) for x in (e, w, b)]
+    sums, number = [np.full_like(x, 1e-6) for x in (e, w, b)], np.zeros(buckets, np.int64)
     y = np.fromiter((r[0] for r in rows), np.int64, len(rows))
     weight = len(rows) / (2 * np.maximum(1, np.bincount(y, minlength=2)))
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(rows))):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             own = order[at : at + batch]
-            places, x = np.concatenate([rows[i][1] for i in own]), np.concatenate([rows[i][2] for i in own])[:, None]
-            row = np.repeat(np.arange(len(own)), [len(rows[i][1]) for i in own])
-            h = np.stack([np.bincount(row, v, len(own)) for v in (x * e[places]).T], 1)
-            z = h @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), y[own]] -= 1
-            p *= (weight[y[own]] / len(own))[:, None]
-            up = (p @ w.T)[row] * x
-            of_e = np.stack([np.bincount(places, v, buckets) for v in up.T], 1)
-            for v, total, g in zip((e, w, b), sums, (of_e, h.T @ p, p.sum(0)), strict=True):
-                total += (g * g).astype(np.float32)
-                v -= (rate * g / np.sqrt(total)).astype(np.float32)
+            places, x = np.concatenate([rows[i][1] for i in own]), np.concatenate([rows[i][2] for i in own])
+            touched = np.zeros(buckets, bool)
+            touched[places] = True
+            touched = np.flatnonzero(touched)
+            number[touched] = np.arange(len(touched))
+            place, row = number[places], np.repeat(np.arange(len(own)), [len(rows[i][1]) for i in own])
+            mine, apart = e[touched], w[:, 1] - w[:, 0]  # of two classes only the difference counts
+            z = np.bincount(row, x * (mine @ apart)[place], len(own)) + float(b[1] - b[0])
+            g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[own]) * weight[y[own]] / len(own)
+            pull = np.bincount(place, g[row] * x, len(touched))
+            of_e, of_w = pull[:, None] * apart + penalty * mine, mine.T @ pull
+            total = sums[0][touched] + (of_e * of_e).astype(np.float32)
+            sums[0][touched] = total
+            e[touched] = mine - (rate * of_e / np.sqrt(total)).astype(np.float32)
+            for v, total, own_g in zip((w, b), sums[1:], (np.stack([-of_w, of_w], 1), np.array([-g.sum(), g.sum()])), strict=True):
+                total += (own_g * own_g).astype(np.float32)
+                v -= (rate * own_g / np.sqrt(total)).astype(np.float32)
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0])
 
 
-def fit(rows: list, buckets: int = BUCKETS, dims: int = DIMS, epochs: tuple[int, int] = (10, 60), kept: int = KEPT) -> tuple[np.ndarray, float]:
-    """Trained twice: the second time with the `kept` buckets alone that moved the first model's logits most over the sample."""
-    first, _ = descend(rows, buckets, dims, epochs[0])
-    moved = np.zeros(buckets)
-    for _, places, weights in rows:
-        moved[places] += weights.astype(np.float64) ** 2
-    strong = np.zeros(buckets, bool)
-    strong[np.argsort(-np.abs(first) * np.sqrt(moved), kind="stable")[:kept]] = True
-    fewer = [(y, places[on], weights[on]) for y, places, weights in rows for on in [strong[places]]]
-    return descend(fewer, buckets, dims, epochs[1])
+def loss(rows: list, model: tuple[np.ndarray, float]) -> float:
+    """The mean cross-entropy, both classes of equal weight."""
+    y = np.fromiter((r[0] for r in rows), np.int64, len(rows))
+    z = np.fromiter((model[0][places] @ weights for _, places, weights in rows), np.float64, len(rows)) + model[1]
+    each = np.logaddexp(0, np.where(y == 1, -z, z))
+    return float(np.mean([each[y == t].mean() for t in (0, 1) if (y == t).any()]))
+
+
+def fit(rows: list, buckets: int = BUCKETS, dims: int = DIMS, steps: int = 1200, folds: int = 2, penalties: tuple[float, ...] = PENALTIES) -> tuple[np.ndarray, float]:
+    """With the penalty of the least loss over the folds, by fits of a third of the steps; a fold is every `folds`-th row of each class."""
+    fold = np.zeros(len(rows), int)
+    for t in (0, 1):
+        own = [i for i, r in enumerate(rows) if r[0] == t]
+        fold[own] = np.arange(len(own)) % folds
+    halves = [([r for r, k in zip(rows, fold, strict=True) if k != f], [r for r, k in zip(rows, fold, strict=True) if k == f]) for f in range(folds)]
+    halves = [(a, b) for a, b in halves if len({r[0] for r in a}) == 2 and b]
+    losses = [sum(loss(b, descend(a, buckets, dims, steps // 3, penalty)) for a, b in halves) for penalty in penalties]
+    return descend(rows, buckets, dims, steps, penalties[int(np.argmin(losses))])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float] | None:

@@ -433,3 +433,22 @@ def test_language_stage_decides(spark):
 
     assert kept(clean + odd + unnamed) == {i: lang for i, _, lang in clean} | {400: "en", 401: "de"}
     assert set(kept([(i, t, None) for i, t, _ in clean + odd])) == {i for i in range(302)}  # nothing is trained
+
+
+def test_toxicity_learns_a_wide_vocabulary():
+    rng = random.Random(15)
+    bad = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(150)]
+
+    def bag(text):
+        each = [toxicity.features(w) for w in toxicity.words(text.encode())]
+        total = np.zeros(toxicity.BUCKETS)
+        for f in each:
+            np.add.at(total, f, 1 / len(f) / len(each))
+        own = np.flatnonzero(total)
+        return own.astype(np.int32), total[own].astype(np.float32)
+
+    rows = [(t, *bag(words(rng, 12) + (" " + rng.choice(bad[k % 150 : k % 150 + 1]) if t else ""))) for k in range(450) for t in (0, 1)]
+    numbers, _ = toxicity.fit(rows)
+    spelled = [w[:4] + "q" + w[4:] for w in bad]  # never seen
+    assert sum(numbers[toxicity.features(w)].sum() > 0 for w in spelled) >= 0.95 * len(bad)
+    assert np.count_nonzero(numbers) > 2000
