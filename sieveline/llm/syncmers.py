@@ -2,9 +2,9 @@
 
 A text is a sequence of symbols: words (cut after 24 characters) and single characters of scripts written without spaces.
 A k-mer of `k` symbols is a closed syncmer if the smallest hash of its inner s-mers (`s` symbols) stands first or last. This depends
-on the k-mer alone, so the same passage yields the same anchors in every document. The fingerprint is the sorted list
-of the `sketch` smallest 32-bit hashes of the text's distinct anchors, as hexadecimal digits: a bottom sketch, whose overlap
-estimates the share of anchors that two texts have in common.
+on the k-mer alone, so the same passage yields the same anchors in every document. All anchors are returned with their positions, by which
+passages can be matched; the fingerprint is a SHA-256 of their distinct sorted hashes, and the likeness of two texts is the share of
+the distinct anchors of either that both have, over all anchors.
 
 Defined cases: a null or empty text, or one of white space, has the fingerprint ''; a text of fewer than k symbols is one anchor;
 the likeness of two empty fingerprints is 1, of an empty one and another 0; equal texts have equal fingerprints; rows that
@@ -43,21 +43,19 @@ def anchors(text: Column, k: int = 4, s: int = 1, symbols: str = SYMBOL) -> Colu
     return F.element_at(bound, 1)
 
 
-def sketch_of(text: Column, k: int = 4, s: int = 1, sketch: int = 64) -> Column:
-    """The smallest distinct anchor hashes, 32 bits each, ascending."""
-    short = F.transform(anchors(text, k, s), lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.slice(F.array_distinct(F.sort_array(short)), 1, sketch)
+def hashes_of(found: Column) -> Column:
+    """The distinct anchor hashes, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"])))
 
 
-def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+def as_text(hashes: Column) -> Column:
+    return F.when(F.size(hashes) == 0, F.lit("")).otherwise(F.sha2(F.array_join(hashes.cast("array<string>"), ",").cast("binary"), 256))
 
 
-def likeness(a: Column, b: Column, sketch: int = 64) -> Column:
-    """The share of the union's smallest hashes that both sketches hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, sketch)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+def likeness(a: Column, b: Column) -> Column:
+    """The share of all distinct hashes that both hold."""
+    shared = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
+    return F.element_at(shared, 1)
 
 
 def zones(docs: DataFrame, zone_rows: int, most: int = 10_000) -> Column:
@@ -99,15 +97,17 @@ def with_next(docs: DataFrame, columns: list[str], zone_rows: int) -> DataFrame:
     return joined.withColumn("next", F.when(F.col("is_last"), F.struct(*(F.col(f"first.{c}").alias(c) for c in columns))).otherwise(F.col("near"))).drop("zone", "tie", "near", "is_last", "head_id", "head", "first")
 
 
-def fingerprints(docs: DataFrame, k: int = 4, s: int = 1, sketch: int = 64, id_col: str = "doc_id", text_col: str = "text", zone_rows: int = 512) -> DataFrame:
-    """Fingerprints of every text and of its edited text, in which the last half of the characters is taken from the next."""
+def fingerprints(docs: DataFrame, k: int = 4, s: int = 1, id_col: str = "doc_id", text_col: str = "text", zone_rows: int = 512) -> DataFrame:
+    """Fingerprints and anchors of every text and of its edited text, in which the last half of the characters is taken from the next."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("sketch", sketch_of(F.col("text"), k, s, sketch))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     n, half = F.length("text").cast("long"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = with_next(own, ["text", "sketch"], zone_rows).select("doc_id", n.alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    rows = rows.withColumn("edited_sketch", sketch_of(F.col("edited"), k, s, sketch))
+    rows = with_next(own, ["text"], zone_rows).select("doc_id", n.alias("n_chars"), "text", F.col("next.text").alias("next_text"), edited.alias("edited"))
+    # anchors are made after the shuffle: texts are smaller
+    rows = rows.select("doc_id", "n_chars", "edited", anchors(F.col("text"), k, s).alias("anchors"), anchors(F.col("edited"), k, s).alias("edited_anchors"), hashes_of(anchors(F.col("next_text"), k, s)).alias("next_hashes"))
+    rows = rows.withColumns({"hashes": hashes_of(F.col("anchors")), "edited_hashes": hashes_of(F.col("edited_anchors"))})
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), sketch).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), sketch).alias("near_next"),
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("hashes")).alias("fingerprint"), as_text(F.col("edited_hashes")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), "anchors", "edited_anchors",
     )

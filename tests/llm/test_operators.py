@@ -452,3 +452,17 @@ def test_toxicity_learns_a_wide_vocabulary():
     spelled = [w[:4] + "q" + w[4:] for w in bad]  # never seen
     assert sum(numbers[toxicity.features(w)].sum() > 0 for w in spelled) >= 0.95 * len(bad)
     assert np.count_nonzero(numbers) > 2000
+
+
+def test_syncmers_keep_every_anchor(spark):
+    rng = random.Random(21)
+    make = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    passage = make(50)
+    texts = [make(3000) + " " + passage, passage + " " + make(3000)]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    a, b = ({x["hash"]: x["position"] for x in got[i]["anchors"]} for i in (0, 1))
+    shared = a.keys() & b.keys()
+    assert len(a) > 1000 and len(shared) > 10 and {a[h] - b[h] for h in shared} == {3000}
+    assert got[0]["near_next"] == pytest.approx(len(shared) / len(a.keys() | b.keys())) and got[0]["near_next"] > 0
+    own = {x["hash"] for x in got[0]["edited_anchors"]}
+    assert got[0]["near_edited"] == pytest.approx(len(own & a.keys()) / len(own | a.keys()))
