@@ -1,7 +1,7 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
 Pivots are vectors of the data (a bounded sample); data are assigned to their nearest pivot. The cells' summaries, the radius and
-the k + 1 smallest distances to the pivot, give every query q a bound that its k-th best score reaches: with |x - p| <= d,
+the k + 1 smallest distances of distinct ids to the pivot, give every query q a bound that its k-th best score reaches: with |x - p| <= d,
 q.x >= q.p - |q| d. The other way round an object at the distance d from the pivot p scores q.p + |q| d at most, so a query needs from
 a cell only objects at least (bound - q.p) / |q| away from the pivot. Queries are grouped by cell (large cells are split and
 small ones joined), a group keeps the smallest such distance for each cell, and an object is replicated only to the groups whose
@@ -85,17 +85,29 @@ def knn(queries: DataFrame, data: DataFrame, k: int, pivots: int = 128, group_ro
         for batch in batches:
             if batch.num_rows:
                 cell, d, _ = near_pivot(matrix(batch.column("v").to_pylist(), width), centres)
+                ids = batch.column("id").to_numpy()
                 for c in np.unique(cell).tolist():
-                    own = np.sort(d[cell == c])
-                    least, most = best.get(c, (own[:0], 0.0))
-                    best[c] = np.sort(np.concatenate([least, own[: k + 1]]))[: k + 1], max(most, float(own[-1]))
-        cells = list(best)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([best[c][0].tolist() for c in cells], pa.list_(pa.float64())), pa.array([best[c][1] for c in cells], pa.float64())], ["cell", "least", "radius"])
-
-    cells = mapped(data, summed, "cell int, least array<double>, radius double").groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least"), F.max("radius").alias("radius")).collect()
+                    own, least, most = cell == c, *best.get(c, ({}, 0.0))
+                    for x, i in sorted(zip(d[own].tolist(), ids[own].tolist(), strict=True)):
+                        if len(least) > k and x > max(least.values()):
+                            break
+                        least[i] = min(x, least.get(i, x))
+                        if len(least) > k + 1:
+                            del least[max(least, key=lambda j: (least[j], j))]
+                    best[c] = least, max(most, float(d[own].max()))
+        rows = [(c, x, i, most) for c, (least, most) in best.items() for i, x in least.items()]
+        kinds = zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.float64(), pa.int64(), pa.float64()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in kinds], ["cell", "d", "id", "radius"])
+
+    # an id counts once in a cell, and once in all of them below, so that the copies of a query take one place
+    each = mapped(data, summed, "cell int, d double, id long, radius double").groupBy("cell", "id").agg(F.min("d").alias("d"), F.max("radius").alias("radius"))
+    cells = each.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("least"), F.max("radius").alias("radius")).orderBy("cell").collect()
+    seen = set()
     least, radius = np.full((len(centres), k + 1), np.inf), np.zeros(len(centres))
     for r in cells:
-        least[r["cell"], : len(r["least"])], radius[r["cell"]] = r["least"], r["radius"]
+        own = [x["d"] for x in r["least"] if x["id"] not in seen]
+        seen |= {x["id"] for x in r["least"]}
+        least[r["cell"], : len(own)], radius[r["cell"]] = own, r["radius"]
 
     def dealt(batches):
         import pyarrow as pa

@@ -454,6 +454,19 @@ def test_toxicity_learns_a_wide_vocabulary():
     assert np.count_nonzero(numbers) > 2000
 
 
+def test_knn_with_copies_of_a_query(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (300, 6)).round(2)
+    v[0] *= 4
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 6
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    got = {r: (i, s) for _, r, i, s in collected(knn.top_k(df, lambda key: key == 0, 5, pivots=300, group_rows=1, chunk_rows=64))}
+    whole = np.floor(v.astype(np.float32).astype(float) * 256).astype(np.int64)
+    s = whole @ whole[0]
+    want = sorted(range(1, 300), key=lambda i: (-s[i], i))[:5]
+    assert [got.get(r) for r in range(1, 6)] == [(i, s[i]) for i in want]
+
+
 def test_syncmers_keep_every_anchor(spark):
     rng = random.Random(21)
     make = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
