@@ -431,8 +431,7 @@ def augmentation_steps(spark, sf_dir):
 
 @query()
 def augmented_corpus(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.min("o_orderkey").alias("doc"))
-    seeds = messages(spark, sf_dir).join(rows, "doc").select(F.concat(F.when(F.col("doc") % 2 == 0, "ckb-").otherwise("ar-"), F.col("doc").cast("string")).alias("id"), "text", F.when(F.col("label") == 1, "scam").otherwise("ham").alias("label"), F.when(F.col("doc") % 2 == 0, "ckb").otherwise("ar").alias("lang"))
+    seeds = messages(spark, sf_dir).select(F.concat(F.when(F.col("doc") % 2 == 0, "ckb-").otherwise("ar-"), F.col("doc").cast("string")).alias("id"), "text", F.when(F.col("label") == 1, "scam").otherwise("ham").alias("label"), F.when(F.col("doc") % 2 == 0, "ckb").otherwise("ar").alias("lang"))
     return V.augment(seeds, 8)
 
 

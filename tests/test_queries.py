@@ -41,6 +41,11 @@ def test_augmented_corpus(spark):
     assert found.groupby("seed_id").size().max() == 8
 
 
+def test_augmented_corpus_takes_every_message(spark):
+    found = registry.augmented_corpus(spark, SMALL)
+    assert found.select("seed_id").distinct().count() == registry.messages(spark, SMALL).count() == 1500
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
