@@ -59,6 +59,14 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def each_utf8(column):
+    """The same one by one, so that a batch of texts is never there twice."""
+    import pyarrow as pa
+
+    for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
+        yield x.as_py() or b""
+
+
 def slices(rows: int, size: int) -> int:
     """How many parts of about `size` rows."""
     return max(1, -(-rows // size))

@@ -204,12 +204,12 @@ def test_suffix_arrays(small):
 
 
 def brute_dedup(texts, length):
-    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    seen = Counter(hash(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
         gone = np.zeros(len(t), bool)
         for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
+            if seen[hash(t[i : i + length])] > 1:
                 gone[i : i + length] = True
         out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum()), bytes(np.frombuffer(t, np.uint8)[~gone])))
     return out
@@ -225,6 +225,21 @@ def test_repeated_passages(docs, rows, none, monkeypatch, crowd, block):
         assert suffix_dedup.dedup(none, 64, 16).count() == 0
 
 
+def test_repeated_passages_of_production_size(spark):
+    rng = random.Random(23)
+    passage, other = words(rng, 60), words(rng, 45)
+    texts = [words(rng, rng.randint(1, 40)) + " " + passage + " " + words(rng, rng.randint(1, 40)) for _ in range(60)]  # keys at its ends have 60 variants
+    texts += [other[i:] + words(rng, 30) for i in range(20)] + ["y" * n for n in (199, 200, 201, 700, 900)] + ["ab" * 300, "é" * 150]
+    texts += [words(rng, 200_000), texts[0], words(rng, 10) + passage[3:-2] + words(rng, 10)]
+    assert len(texts[-3]) > 1 << 20
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (5, texts[5]), (None, texts[6])], "doc_id long, text string").withColumns({"key": F.lit(1), "mark": F.lit("x"), "n": F.lit(2)}).repartition(4)
+    rows = [*enumerate(texts), (5, texts[5]), (5, texts[5]), (None, texts[6])]
+    want = sorted(((i, *w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(rows, brute_dedup([t.encode() for _, t in rows], 200), strict=True)), key=str)
+    for shard_bytes, crowd in ((1 << 20, 1 << 18), (3000, 600)):
+        got = suffix_dedup.dedup(docs, 200, 40, shard_bytes=shard_bytes, crowd=crowd)
+        assert sorted(collected(got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))), key=str) == want
+
+
 def test_whole_characters_stay_valid(docs):
     for r in suffix_dedup.dedup(docs, 64, 16, whole_characters=True).collect():
         bytes(r["kept"]).decode()
