@@ -67,6 +67,19 @@ def each_utf8(column):
         yield x.as_py() or b""
 
 
+def text_runs(texts, size: int = 1 << 22):
+    """Lists of texts of about `size` bytes."""
+    own, total = [], 0
+    for text in texts:
+        own.append(text)
+        total += len(text)
+        if total >= size:
+            yield own
+            own, total = [], 0
+    if own:
+        yield own
+
+
 def slices(rows: int, size: int) -> int:
     """How many parts of about `size` rows."""
     return max(1, -(-rows // size))

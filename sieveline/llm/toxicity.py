@@ -1,32 +1,34 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's features are itself and its character n-grams of 3 to 5 with the ends marked, hashed into `buckets`; its embedding is the mean
-of theirs, a text's the mean of its distinct words', and a linear softmax over it gives the two classes. All buckets count. So an unseen misspelling shares
-most of its vectors with the word. Embeddings and softmax are trained together by AdaGrad, with a squared penalty on the embeddings that cross-validation on the training rows chooses, on a bounded sample of labelled rows: at
-most `per_class` of each class, the first by a hash of the id. As everything is linear, a trained word is one number, and a text's logit is
-the mean of its words' numbers plus a constant; all words of all texts count.
+of theirs, a text's the mean of its words' (repeats included), and a linear softmax over it gives the two classes. So an unseen misspelling
+shares most of its vectors with the word. Embeddings and softmax are trained together by AdaGrad on a bounded sample of labelled rows: at
+most `per_class` of each class, the first by a hash of the id, as long as their features stay within `most` in all (8 bytes each). All buckets
+learn, but those whose presence in a text tells little of the label (the G statistic of the 2 x 2 table is below `level`) by a `share` of the
+learning rate, so that the many n-grams of a few texts don't learn these by heart. As everything is linear, a
+trained word is one number, and a text's logit is the mean of its words' numbers plus a constant; all words of all texts count.
 
 Defined cases: null and empty texts have no words and get the constant alone; labels that are null, or neither 0 nor 1, are left out; a
 document with several labels counts as the largest; without labels of both classes every score is 0; rows that repeat are scored each; an
-empty table gives no rows. Other columns are ignored, whatever their names.
+empty table gives no rows. Other columns are ignored, whatever their names. Memory: texts in runs of 4 MB, and one long text.
 """
 
 from __future__ import annotations
 
-import math
 import string
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sieveline.llm.common import mapped, utf8
+from sieveline.llm.common import each_utf8, mapped, stash, text_runs
 from sieveline.llm.language import held_out
 
-BUCKETS, DIMS, PER_CLASS, KNOWN = 1 << 17, 4, 2000, 400_000
-#: Penalties on the embeddings to choose from.
-PENALTIES = (0.0, 1e-4, 1e-3)
+BUCKETS, DIMS, PER_CLASS, MOST, KNOWN = 1 << 17, 4, 2000, 1 << 24, 400_000
+#: A G statistic of a chance of 0.001 by chi-square, and the share of the learning rate that buckets below it have.
+LEVEL, SHARE, STEPS = 10.828, 0.03, 1500
 SALT = 17
 
 
@@ -45,9 +47,20 @@ def features(word: str, buckets: int = BUCKETS) -> list[int]:
     return [crc32(g, SALT) % buckets for g in grams]
 
 
+def coded(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words in lower case, the places of the texts' words among them, and where each text's places start and end."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([x.decode("utf-8", "replace").strip() for x in texts], pa.large_string())))
+    own = split.values.dictionary_encode()
+    return own.dictionary.to_pylist(), own.indices.to_numpy(), split.offsets.to_numpy()
+
+
 def words(text: bytes) -> list[str]:
-    """The distinct words, in order of their first place: a word that fills a text counts once."""
-    return list(dict.fromkeys(text.decode("utf-8", "replace").lower().split()))
+    """The words of a text."""
+    names, at, _ = coded([text])
+    return [w for i in at for w in [names[i]] if w]
 
 
 class Remembered(dict):
@@ -66,34 +79,38 @@ class Remembered(dict):
         return out
 
 
+def bag(at: np.ndarray, features_: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of a text whose words stand at these places: the mean over words of the means over features."""
+    own, times = np.unique(at, return_counts=True)
+    if not len(own):
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    found, n = np.concatenate([features_[i] for i in own]), np.fromiter((len(features_[i]) for i in own), np.int64, len(own))
+    places, inverse = np.unique(found, return_inverse=True)
+    return places.astype(np.int32), (np.bincount(inverse, np.repeat(times / n, n), len(places)) / times.sum()).astype(np.float32)
+
+
 def bags(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, toxic, places, weights: each text's mean over words of the means over features."""
+    """doc_id, toxic, places, weights: each text's bag."""
 
     def of(batches):
         import pyarrow as pa
 
-        known = Remembered(lambda w: (np.asarray(f := features(w, buckets), np.int32), len(f)))
+        known = Remembered(lambda w: np.asarray(features(w, buckets), np.int32))
         for batch in batches:
-            places, weights = [], []
-            for text in utf8(batch.column(2)):
-                total, all_words = np.zeros(buckets, np.float32), words(text)
-                found = [known[w] for w in all_words]
-                if found:
-                    at, n = np.concatenate([f for f, _ in found]), np.fromiter((n for _, n in found), np.int64, len(found))
-                    total = np.bincount(at, np.repeat(1 / n, n), buckets) / len(found)
-                own = np.flatnonzero(total)
-                places.append(own.astype(np.int32))
-                weights.append(total[own].astype(np.float32))
+            out = []
+            for own in text_runs(each_utf8(batch.column(2))):
+                names, at, ends = coded(own)
+                each = [known[w] if w else np.zeros(0, np.int32) for w in names]
+                full = np.fromiter(map(bool, names), bool, len(names))
+                out += [bag((x := at[a:b])[full[x]], each, buckets) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            places, weights = [p for p, _ in out], [w for _, w in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["doc_id", "toxic", "places", "weights"])
 
     return mapped(docs.select("doc_id", "toxic", "text"), of, "doc_id long, toxic int, places array<int>, weights array<float>")
 
 
-def descend(rows: list, buckets: int, dims: int, steps: int, penalty: float = 0.0, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Each bucket's number and the constant. rows: (toxic, places, weights).
-
-    The penalty is half of `penalty` times the squared embeddings that a batch touches. About `steps` batches are taken, in whole rounds.
-    """
+def descend(rows: list, buckets: int, dims: int, steps: int, pace: np.ndarray, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Each bucket's number and the constant. rows: (toxic, places, weights); pace: of each bucket's rate. About `steps` batches are taken, in whole rounds."""
     rng = np.random.default_rng(7)
     e, w, b = np.zeros((buckets, dims), np.float32), rng.normal(0, 0.1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     sums, number = [np.full_like(x, 1e-6) for x in (e, w, b)], np.zeros(buckets, np.int64)
@@ -113,43 +130,39 @@ def descend(rows: list, buckets: int, dims: int, steps: int, penalty: float = 0.
             z = np.bincount(row, x * (mine @ apart)[place], len(own)) + float(b[1] - b[0])
             g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[own]) * weight[y[own]] / len(own)
             pull = np.bincount(place, g[row] * x, len(touched))
-            of_e, of_w = pull[:, None] * apart + penalty * mine, mine.T @ pull
+            of_e, of_w = pull[:, None] * apart, mine.T @ pull
             total = sums[0][touched] + (of_e * of_e).astype(np.float32)
             sums[0][touched] = total
-            e[touched] = mine - (rate * of_e / np.sqrt(total)).astype(np.float32)
+            e[touched] = mine - (rate * pace[touched, None] * of_e / np.sqrt(total)).astype(np.float32)
             for v, total, own_g in zip((w, b), sums[1:], (np.stack([-of_w, of_w], 1), np.array([-g.sum(), g.sum()])), strict=True):
                 total += (own_g * own_g).astype(np.float32)
                 v -= (rate * own_g / np.sqrt(total)).astype(np.float32)
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0])
 
 
-def loss(rows: list, model: tuple[np.ndarray, float]) -> float:
-    """The mean cross-entropy, both classes of equal weight."""
+def significance(rows: list, buckets: int) -> np.ndarray:
+    """The G statistic of each bucket: how far its presence in a text tells the label."""
     y = np.fromiter((r[0] for r in rows), np.int64, len(rows))
-    z = np.fromiter((model[0][places] @ weights for _, places, weights in rows), np.float64, len(rows)) + model[1]
-    each = np.logaddexp(0, np.where(y == 1, -z, z))
-    return float(np.mean([each[y == t].mean() for t in (0, 1) if (y == t).any()]))
+    with_, texts = (np.array([f(t) for t in (0, 1)], float) for f in (lambda t: np.bincount(np.concatenate([r[1] for r in rows if r[0] == t]), minlength=buckets), lambda t: (y == t).sum()))
+    seen = np.stack([with_, texts[:, None] - with_], 1)  # class, present or not, bucket
+    expected = texts[:, None, None] * seen.sum(0)[None] / len(rows)
+    return 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0).sum((0, 1))
 
 
-def fit(rows: list, buckets: int = BUCKETS, dims: int = DIMS, steps: int = 1200, folds: int = 2, penalties: tuple[float, ...] = PENALTIES) -> tuple[np.ndarray, float]:
-    """With the penalty of the least loss over the folds, by fits of a third of the steps; a fold is every `folds`-th row of each class."""
-    fold = np.zeros(len(rows), int)
-    for t in (0, 1):
-        own = [i for i, r in enumerate(rows) if r[0] == t]
-        fold[own] = np.arange(len(own)) % folds
-    halves = [([r for r, k in zip(rows, fold, strict=True) if k != f], [r for r, k in zip(rows, fold, strict=True) if k == f]) for f in range(folds)]
-    halves = [(a, b) for a, b in halves if len({r[0] for r in a}) == 2 and b]
-    losses = [sum(loss(b, descend(a, buckets, dims, steps // 3, penalty)) for a, b in halves) for penalty in penalties]
-    return descend(rows, buckets, dims, steps, penalties[int(np.argmin(losses))])
+def fit(rows: list, buckets: int = BUCKETS, dims: int = DIMS, steps: int = STEPS, level: float = LEVEL, share: float = SHARE) -> tuple[np.ndarray, float]:
+    return descend(rows, buckets, dims, steps, np.where(significance(rows, buckets) >= level, 1, share))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST) -> tuple[np.ndarray, float] | None:
     """docs and labels: those to learn from. Only the sampled ids and their bags come to the driver."""
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [own.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
     picked = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * per_class rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = bags(texts.join(picked, "doc_id")).toArrow().combine_chunks().sort_by("doc_id")  # columns of numbers, not Python objects
+    made = stash(bags(texts.join(picked, "doc_id")))  # so many rows at most
+    upto = F.sum(F.size("places")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, 0))
+    within = made.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= most).select("doc_id").distinct()
+    found = made.join(F.broadcast(within), "doc_id").toArrow().combine_chunks().sort_by("doc_id")  # columns of numbers, not Python objects
     rows = [(y, p.values.to_numpy(), w.values.to_numpy()) for y, p, w in zip(found["toxic"].to_pylist(), found["places"], found["weights"], strict=True)]
     if len({r[0] for r in rows}) < 2:
         return None
@@ -158,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score."""
-    numbers, constant = model if model else (np.zeros(BUCKETS), -math.inf)
+    numbers, constant = model if model else (np.zeros(BUCKETS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(numbers)  # BUCKETS numbers
 
     def of(batches):
@@ -168,12 +181,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str =
         number = values.__getitem__
         known = Remembered(lambda w: sum(map(number, own := features(w, len(values)))) / len(own))
         for batch in batches:
-            scores = []
-            for text in utf8(batch.column(1)):
-                own = words(text)
-                z = constant + (sum(map(known.__getitem__, own)) / len(own) if own else 0.0)
-                scores.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = [np.zeros(0)]
+            for own in text_runs(each_utf8(batch.column(1))):
+                names, at, ends = coded(own)
+                each = np.fromiter((known[w] if w else 0.0 for w in names), np.float64, len(names))
+                full = np.fromiter(map(bool, names), bool, len(names))[at]
+                total, n = (np.diff(np.concatenate(([0], np.cumsum(x)))[ends]) for x in (each[at], full))
+                z = constant + np.where(n > 0, total / np.maximum(n, 1), 0.0)
+                scores.append(1 / (1 + np.exp(-np.maximum(z, -700))) if model else np.zeros(len(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "score"])
 
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")), of, "doc_id long, score double")
 
