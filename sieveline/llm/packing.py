@@ -16,60 +16,104 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import mapped, ship, slices, stash, utf8
+from sieveline.llm.common import each_utf8, mapped, ship, slices, stash
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts whose ids must be those of their parts, one after the other.
+FITTING = {"The cat, (it's) 12 MEN... don't": ["the", "cat", ",", "(", "it", "'s", ")", "1", "2", "men", "...", "don", "'t"], "x\n\n y\tZ": ["x", "y", "z"], "a-b, c": ["a", "-", "b", ",", "c"]}
+#: Bytes of text that are encoded at once.
+RUN = 1 << 22
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class WordTokens:
     """Token ids as little-endian bytes, by white-space separated word; exact for a tokenizer that lower-cases, drops white space
-    and splits letters from what is neither letter nor digit.
+    and splits letters from what is neither letter nor digit. Others are refused.
 
     Words of letters are encoded together, and their ids are split after those tokens that end a word; marks after a word
-    are looked up apart. Other words, and all if the split doesn't fit, are encoded one by one. The table is emptied when it
-    holds `limit` words; words of over 64 bytes are not kept.
+    are looked up apart. Other words, and all if the split doesn't fit, are encoded one by one. When the table holds `limit` words
+    it becomes the old one, from which words come back as they occur again; words of over 64 bytes are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 750_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known, self.old = Tokenizer.from_file(path), limit, {}, {}
         self.plain = Tokenizer.from_file(path)  # the same for words of a-z, which need no normalisation and stand for their own bytes
+        if not self._fits():
+            raise ValueError(f"{path}: its tokens are not those of the words one by one")
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.marked = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)").fullmatch
+
+    def _fits(self) -> bool:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        return all(ids(text) == [i for part in parts for i in ids(part)] for text, parts in FITTING.items())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]  # ASCII letters; a special token's string stays as it is
-        known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            if len(known) + len(new) > self.limit:
-                known = self.known = {}
-                new = set().union(*split)
-            known.update(self._ids(new))
-        out = [b"".join(map(known.__getitem__, x)) for x in split]
-        for word in new:
-            if len(word) > 64:
-                del known[word]
-        return out
-
-    def _ids(self, new: set[bytes]) -> dict[bytes, bytes]:
-        parts = {w: m.groups() for w in new if (m := self.marked(w)) and m[1].decode().isalpha()}
-        letters = [w for w in new.union(*(p[:1] for p in parts.values())).difference(parts) if w.decode().isalpha() and (not w.isascii() or w.islower())]
-        found = self._together([w for w in letters if w.isascii()], self.plain) | self._together([w for w in letters if not w.isascii()], self.tokenizer)
-        one = list(new.union(*(p[1:] for p in parts.values())).difference(parts, found))
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        plain = pc.if_else(pc.match_substring(plain, "<|"), plain, pc.ascii_lower(plain))  # a special token's string stays as it is
+        split = pc.ascii_split_whitespace(plain)
+        coded, ends = split.values.dictionary_encode(), split.offsets.to_numpy()
+        values, at = self._values(coded.dictionary.cast(pa.large_binary()).to_pylist()), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        upto = np.concatenate(([0], np.cumsum(sizes[at])))
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], sizes[at])
+        place += np.arange(len(place))
+        ids, cuts = np.frombuffer(b"".join(values), "<u4")[place], upto[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _values(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        out = list(map(self.known.get, words))
+        new = [w for w, v in zip(words, out, strict=True) if v is None]
+        if not new:
+            return out
+        found = self._ids(new)
+        if len(self.known) + len(found) > self.limit:
+            self.old, self.known = self.known, {}
+        self.known.update(found if max(map(len, new)) <= 64 else {w: v for w, v in found.items() if len(w) <= 64})
+        return [found[w] if v is None else v for w, v in zip(words, out, strict=True)]
+
+    def _ids(self, new: list[bytes]) -> dict[bytes, bytes]:
+        old, known = self.old, self.known
+        found = {w: old[w] for w in new if w in old}
+        cores, letters, one, need = [], [], [], set()
+        for w in new if not found else [w for w in new if w not in found]:
+            c = w.rstrip(MARKS)
+            if c and (c.isalpha() or not c.isascii() and c.decode().isalpha()) and (c.islower() or c == c.lower() or c is w and not c.isascii()):
+                if len(c) == len(w):
+                    letters.append(w)
+                else:
+                    cores.append((w, c, w[len(c) :]))
+                    need.add(c)
+                    need.add(cores[-1][2])
+            else:
+                one.append(w)
+        need.difference_update(letters, one)
+        for w in need:
+            if w in known:
+                found[w] = known[w]
+            elif w in old:
+                found[w] = old[w]
+            else:
+                (letters if w[-1] not in MARKS else one).append(w)
+        found |= self._together([w for w in letters if w.isascii()], self.plain) | self._together([w for w in letters if not w.isascii()], self.tokenizer)
         found.update(zip(one, self._each(one), strict=True))
-        found.update((w, found[a] + found[b]) for w, (a, b) in parts.items())
+        found.update([(w, found[c] + found[m]) for w, c, m in cores])
         return found
 
     def _each(self, words: list[bytes]) -> list[bytes]:
@@ -86,11 +130,22 @@ class WordTokens:
         return {w: raw[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
 
 
-def runs(texts: list[bytes], size: int):
-    """The texts in lists of about `size` bytes."""
+@lru_cache(1)
+def word_tokens(path: str) -> WordTokens:
+    """One table for all tasks of a worker."""
+    return WordTokens(path)
+
+
+def runs(texts, size: int):
+    """The texts, in lists of about `size` bytes, each as its parts: longer ones are split where white space is."""
     own, total = [], 0
     for text in texts:
-        own.append(text)
+        at, parts = 0, []
+        while len(text) - at > size and (end := BLANK.search(text, at + size)):
+            parts.append(text[at : end.start()])
+            at = end.end()
+        parts.append(text[at:] if at else text)
+        own.append(parts)
         total += len(text)
         if total >= size:
             yield own
@@ -112,10 +167,17 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 40
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words, end = WordTokens(path), np.asarray([end_id], "<u4").tobytes()
+        words, end = word_tokens(path), np.asarray([end_id], "<u4").tobytes()
+
+        def whole(own):
+            if len(own) == 1:  # perhaps a long one
+                return [b"".join(words.encode([part])[0] for part in own[0])]
+            last = [b"".join(words.encode([part])[0] for part in own[-1])] if len(own[-1]) > 1 else []
+            return words.encode([parts[0] for parts in own[: len(own) - len(last)]]) + last
+
         for batch in batches:
             docs, out = batch.column(0).to_pylist(), []
-            encoded = (ids for own in runs(utf8(batch.column(1)), 1 << 20) for ids in words.encode(own))
+            encoded = (ids for own in runs(each_utf8(batch.column(1)), RUN) for ids in whole(own))
             for doc, ids in zip(docs, encoded, strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * max_len)):

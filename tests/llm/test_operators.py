@@ -366,6 +366,41 @@ def test_odd_words_have_the_tokenizer_s_ids():
         assert words_.encode([t.encode() for t in own]) == want
 
 
+def test_long_texts_are_encoded_in_parts():
+    import public_tokenizers
+
+    rng = random.Random(31)
+    texts = [words(rng, 400).encode(), b"", b"a" * 900, words(rng, 3).encode() + b" \n " + b"b" * 300 + b" c, d"]
+    words_ = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    parts = [p for own in packing.runs(texts, 256) for p in own]
+    assert len(parts) == 4 and len(parts[0]) > 5 and all(b"".join(p).split() for p in (parts[0], parts[2], parts[3]))
+    for text, own in zip(texts, parts, strict=True):
+        assert b" ".join(own).split() == text.split() and b"".join(words_.encode([p])[0] for p in own) == words_.encode([text])[0]
+
+
+def test_other_tokenizers_are_refused():
+    from pathlib import Path
+
+    import public_tokenizers
+
+    others = [p for p in Path(public_tokenizers.path("word_bpe_49k.json")).parent.glob("*.json") if p.name != "word_bpe_49k.json"]
+    refused = 0
+    for p in others:
+        try:
+            packing.WordTokens(str(p))
+        except Exception:
+            refused += 1
+    assert refused == len(others)
+
+
+def test_packing_is_within_a_sequence_of_the_bound():
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        lengths = np.minimum(4096, rng.lognormal(6.3, 1.1, 6000).astype(int) + 1)
+        bins, offsets = packing.best_two_fit(lengths, 4096)
+        assert np.bincount(bins, lengths).max() <= 4096 and bins.max() + 1 <= -(-lengths.sum() // 4096) + 1
+
+
 def test_two_documents_replace_the_smallest():
     bins, offsets = packing.best_two_fit(np.array([60, 25, 20, 19]), 100)
     assert bins.tolist() == [0, 1, 0, 0] and sorted(offsets.tolist()) == [0, 0, 60, 80]
@@ -469,6 +504,39 @@ def test_toxicity_learns_a_wide_vocabulary():
     assert np.count_nonzero(numbers) > 2000
 
 
+def test_toxicity_bags_and_scores_by_hand(spark):
+    rng = random.Random(17)
+    texts = [words(rng, rng.randint(0, 30)) + " " + " ".join(rng.choices(["Straße", "foo,", "foo", "İx", "a\u00a0b", "\u2028"], k=4)) for _ in range(30)] + ["", " \n ", None, "foo " * 3000]
+    names, at, ends = toxicity.coded([(t or "").encode() for t in texts])
+    known = [np.asarray(toxicity.features(w)) for w in names]
+    numbers = np.random.default_rng(1).normal(0, 30, toxicity.BUCKETS)
+    docs = spark.createDataFrame([(i % 31, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"score": F.lit("x"), "toxic": F.lit(1)}).repartition(3)
+    want, bags_ = [], []
+    for i, t in enumerate(texts):
+        own = [names[k] for k in at[ends[i] : ends[i + 1]] if names[k]]
+        assert own == [w for w in (t or "").lower().split()] or "İ" in (t or "")
+        total = np.zeros(toxicity.BUCKETS)
+        for w in own:
+            f = toxicity.features(w)
+            np.add.at(total, f, 1 / len(f) / len(own))
+        want.append((i % 31, 1 / (1 + np.exp(-(total @ numbers + 0.25)))))
+        bags_.append((i % 31, total))
+    got = sorted(collected(toxicity.score(docs, (numbers, 0.25))))
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)] and np.allclose([g[1] for g in got], [w[1] for w in sorted(want)])
+    made = {(r["doc_id"], len(r["places"])): r for r in toxicity.bags(docs.withColumn("toxic", F.lit(1))).collect()}
+    for i, total in bags_:
+        r = made[i, np.count_nonzero(total)]
+        assert np.allclose(total[list(r["places"])], list(r["weights"]), atol=1e-6)
+    assert known and sum(r["places"] == [] for r in made.values()) >= 1
+
+
+def test_significance_is_the_g_statistic():
+    rows = [(1, np.array([0, 2]), None)] * 8 + [(1, np.array([2]), None)] * 2 + [(0, np.array([2]), None)] * 15 + [(0, np.array([0]), None)] * 5
+    table = [[8, 5], [2, 15]]
+    want = 2 * sum(o * np.log(o * 30 / (sum(table[i]) * sum(r[j] for r in table))) for i in (0, 1) for j in (0, 1) for o in [table[i][j]])
+    assert toxicity.significance(rows, 4)[0] == pytest.approx(want) and toxicity.significance(rows, 4)[[1, 3]].tolist() == [0, 0]
+
+
 def test_knn_with_copies_of_a_query(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(0, 1, (300, 6)).round(2)
