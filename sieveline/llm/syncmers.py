@@ -77,24 +77,26 @@ def zones(docs: DataFrame, zone_rows: int, most: int = 10_000) -> Column:
 def with_next(docs: DataFrame, columns: list[str], zone_rows: int) -> DataFrame:
     """Adds `next`: the struct of `columns` of the next row by doc_id; the first row's after the last.
 
-    Rows are dealt to ranges of doc_id, which are sorted apart; the last row of a range gets the first row of the next range, which
-    are read once more by their ids. No task holds more than some ranges.
+    Rows are dealt to ranges of doc_id, which are sorted apart. The first row of each range is read once more by its id and dealt to the range
+    before as well, behind its rows, so texts are shuffled once and nothing is joined. No task holds more than some ranges.
     """
     zone, tie = zones(docs.select("doc_id"), zone_rows).alias("zone"), F.xxhash64(*columns).alias("tie")
     ids = docs.select(zone, "doc_id").groupBy("zone").agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("zone").collect()
     if not ids:
         return docs.withColumn("next", F.struct(*columns))
     lows = [None if r["nulls"] else r["low"] for r in ids]
-    after = {r["zone"]: lows[(i + 1) % len(ids)] for i, r in enumerate(ids)}
-    wanted = F.col("doc_id").isin([x for x in lows if x is not None])
-    wanted = wanted | F.col("doc_id").isNull() if None in lows else wanted
-    heads = docs.filter(wanted).groupBy(F.col("doc_id").alias("head")).agg(F.min(F.struct(tie, *columns)).alias("first"))
-    follows = F.create_map(*(F.lit(x) for pair in after.items() for x in pair)) if None not in lows else F.create_map(*(y for a, b in after.items() for y in (F.lit(a), F.lit(b).cast("long"))))
-    by_zone = Window.partitionBy("zone").orderBy(F.col("doc_id").asc_nulls_first(), "tie")
-    rows = docs.select("*", zone, tie).withColumn("near", F.lead(F.struct(*columns)).over(by_zone)).withColumn("is_last", F.lead("zone").over(by_zone).isNull())
-    rows = rows.withColumn("head_id", F.when(F.col("is_last"), F.element_at(follows, F.col("zone"))))
-    joined = rows.join(F.broadcast(heads), F.col("is_last") & F.col("head_id").eqNullSafe(F.col("head")), "left")
-    return joined.withColumn("next", F.when(F.col("is_last"), F.struct(*(F.col(f"first.{c}").alias(c) for c in columns))).otherwise(F.col("near"))).drop("zone", "tie", "near", "is_last", "head_id", "head", "first")
+    before = {low: ids[i - 1]["zone"] for i, low in enumerate(lows)}
+    known = [x for x in lows if x is not None]
+    wanted = F.col("doc_id").isin(known) if known else F.lit(False)
+    wanted = wanted | F.col("doc_id").isNull() if None in before else wanted
+    heads = docs.filter(wanted).groupBy("doc_id").agg(F.min(F.struct(tie, *columns)).alias("first"))
+    place = F.lit(before.get(None))
+    if known:
+        place = F.when(F.col("doc_id").isNull(), place).otherwise(F.element_at(F.create_map(*(F.lit(x) for low in known for x in (low, before[low]))), F.col("doc_id")))
+    guests = heads.select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("doc_id", *columns) else F.col(f.name if f.name == "doc_id" else f"first.{f.name}") for f in docs.schema), place.cast("int").alias("zone"), "first.tie", F.lit(1).alias("guest"))
+    rows = docs.select("*", zone.cast("int"), tie, F.lit(0).alias("guest")).unionByName(guests)
+    in_zone = Window.partitionBy("zone").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
+    return rows.withColumn("next", F.lead(F.struct(*columns)).over(in_zone)).filter("guest = 0").drop("zone", "tie", "guest")
 
 
 def fingerprints(docs: DataFrame, k: int = 4, s: int = 1, id_col: str = "doc_id", text_col: str = "text", zone_rows: int = 512) -> DataFrame:
