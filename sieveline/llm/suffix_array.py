@@ -76,36 +76,69 @@ def induce(t: np.ndarray, up: np.ndarray, lms: np.ndarray, symbols: int) -> tupl
     return larger, smaller[::-1]
 
 
-def induce_one_by_one(t: list[int], up: list[bool], lms: list[int], symbols: int) -> list[int]:
-    """The same for large alphabets, with a place for each suffix."""
-    n = len(t)
+def one_by_one(t: np.ndarray, up: np.ndarray, symbols: int):
+    """The same for large alphabets, with a place for each suffix: a function of the sorted starts."""
+    n, none = len(t), np.zeros(1, bool)
     ends = np.cumsum(np.bincount(t, minlength=symbols))
-    heads, tails, sa = [0, *ends[:-1].tolist()], ends.tolist(), [-1] * n
-    at = tails[:]
-    for j in reversed(lms):
-        c = t[j]
-        at[c] -= 1
-        sa[at[c]] = j
-    at = heads[:]
-    sa_at = n - 1
-    c = t[sa_at]
-    # the empty suffix comes first and induces the last one
-    sa[at[c]] = sa_at
-    at[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not up[j]:
-            c = t[j]
-            sa[at[c]] = j
-            at[c] += 1
-    at = tails[:]
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and up[j]:
-            c = t[j]
-            at[c] -= 1
-            sa[at[c]] = j
-    return sa
+    heads, tails = np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()
+    symbol, before = t.tolist(), np.concatenate(([0], t[:-1])).tolist()  # of the suffix, and of the one that begins one place earlier
+    larger, smaller = (np.concatenate((none, kind[:-1], none)).tolist() for kind in (~up, up))  # whether that is of the type; a free place, -1, has none
+
+    def induced(lms: list[int]) -> list[int]:
+        sa, at = [-1] * n, tails[:]
+        for j in reversed(lms):
+            at[symbol[j]] -= 1
+            sa[at[symbol[j]]] = j
+        at = heads[:]
+        sa[at[symbol[-1]]] = n - 1  # the empty suffix comes first and induces the last one
+        at[symbol[-1]] += 1
+        for j in sa:  # sees what is put further on
+            if larger[j]:
+                c = before[j]
+                sa[at[c]] = j - 1
+                at[c] += 1
+        at = tails[:]
+        for j in reversed(sa):
+            if smaller[j]:
+                c = before[j]
+                at[c] -= 1
+                sa[at[c]] = j - 1
+        return sa
+
+    return induced
+
+
+def substring_names(t: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
+    """The rank of each smaller-leftmost substring of a large alphabet, symbol by symbol among those that are still equal.
+
+    Of two that are equal as far as the shorter one goes, the shorter is larger: its last symbol begins a smaller suffix, the other's a larger
+    one. The last substring ends at the end of the text, before which nothing comes.
+    """
+    n, m = len(t), len(lms)
+    length, end = np.diff(np.append(lms, n)) + 1, np.full(m, symbols + 1)
+    length[-1], end[-1] = n - lms[-1], 0
+    name, active, step = t[lms].astype(np.int64), np.arange(m), 0
+    order = np.argsort(name, kind="stable")
+    while True:
+        ranked = name[order]
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        rank = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        lowest = np.empty(len(order), np.int64)
+        lowest[order] = rank
+        if not step:
+            base = lowest
+        else:
+            base[active] = first[lowest] + (lowest - start[lowest])
+        size = np.bincount(base[active], minlength=m)
+        tied = (size[base[active]] > 1) & (step < length[active])
+        active, step = active[tied], step + 1
+        if not len(active):
+            return np.unique(base, return_inverse=True)[1]
+        groups, group = np.unique(base[active], return_inverse=True)
+        name = group * (symbols + 2) + np.where(step < length[active], t[np.minimum(lms[active] + step, n - 1)] + 1, end[active])
+        order = np.argsort(name, kind="stable")
+        count = np.bincount(group)
+        start, first = np.repeat(np.cumsum(count) - count, count), np.repeat(groups, count)
 
 
 def names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -135,20 +168,22 @@ def suffix_array(t: np.ndarray, symbols: int, small_alphabet: int = 300) -> np.n
         return np.zeros(0, np.int64)
     up = suffix_types(t)
     lms = lms_positions(up)
-    listed = (t.tolist(), up.tolist()) if symbols > small_alphabet else None
+    large = one_by_one(t, up, symbols) if symbols > small_alphabet else None
 
     def induced(rows: np.ndarray) -> np.ndarray:
-        if listed:
-            return np.asarray(induce_one_by_one(*listed, rows.tolist(), symbols))
+        if large:
+            return np.asarray(large(rows.tolist()))
         larger, smaller = induce(t, up, rows, symbols)
         return np.concatenate([x for pair in zip(larger, smaller, strict=True) for x in pair])
 
     if len(lms):
-        first = induced(lms)
-        place = np.full(len(t), -1, np.int64)
-        place[lms] = np.arange(len(lms))
-        order = place[first]
-        name = names(t, lms, order[order >= 0])
+        if large:
+            name = substring_names(t, lms, symbols)
+        else:
+            place = np.full(len(t), -1, np.int64)
+            place[lms] = np.arange(len(lms))
+            order = place[induced(lms)]
+            name = names(t, lms, order[order >= 0])
         count = int(name.max()) + 1
         if count < len(lms):
             lms = lms[suffix_array(name, count, small_alphabet)]
