@@ -196,7 +196,7 @@ def repeated_ranges(docs: DataFrame, length: int, sizes: list[int], shard_bytes:
     return kept.join(found, ["key", "seg"]).select(*covered(F.col("low"), F.col("high")))
 
 
-def dedup(docs: DataFrame, length: int = 200, inner: int = 40, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20, crowd: int = 1 << 18, whole_characters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, inner: int = 40, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20, crowd: int = 1 << 21, whole_characters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (merged byte ranges) and kept (the other bytes), one row per document.
 
     whole_characters: ranges are narrowed to whole characters, so that kept stays valid UTF-8. keep: columns to carry along.
