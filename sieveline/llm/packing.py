@@ -39,11 +39,12 @@ class WordTokens:
     and splits letters from what is neither letter nor digit. Others are refused.
 
     Words of letters are encoded together, and their ids are split after those tokens that end a word; marks after a word
-    are looked up apart. Other words, and all if the split doesn't fit, are encoded one by one. When the table holds `limit` words
-    it becomes the old one, from which words come back as they occur again; words of over 64 bytes are not kept.
+    are looked up apart. Other words, and all if the split doesn't fit, are encoded one by one. Words that occur
+    twice in a run of texts are kept; when the table holds `limit` it becomes the old one, from which words come back as they occur again.
+    Words of over 64 bytes are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 750_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -68,7 +69,8 @@ class WordTokens:
         plain = pc.if_else(pc.match_substring(plain, "<|"), plain, pc.ascii_lower(plain))  # a special token's string stays as it is
         split = pc.ascii_split_whitespace(plain)
         coded, ends = split.values.dictionary_encode(), split.offsets.to_numpy()
-        values, at = self._values(coded.dictionary.cast(pa.large_binary()).to_pylist()), coded.indices.to_numpy()
+        at = coded.indices.to_numpy()
+        values = self._values(coded.dictionary.cast(pa.large_binary()).to_pylist(), np.bincount(at, minlength=len(coded.dictionary)) > 1)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
         upto = np.concatenate(([0], np.cumsum(sizes[at])))
         place = np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], sizes[at])
@@ -76,16 +78,17 @@ class WordTokens:
         ids, cuts = np.frombuffer(b"".join(values), "<u4")[place], upto[ends].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _values(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct words."""
+    def _values(self, words: list[bytes], often: np.ndarray) -> list[bytes]:
+        """The ids of distinct words; those that occur often are kept, and those that came back."""
         out = list(map(self.known.get, words))
         new = [w for w, v in zip(words, out, strict=True) if v is None]
         if not new:
             return out
         found = self._ids(new)
-        if len(self.known) + len(found) > self.limit:
+        kept = [(w, found[w]) for w, v, more in zip(words, out, often.tolist(), strict=True) if v is None and (more or w in self.old) and len(w) <= 64]
+        if len(self.known) + len(kept) > self.limit:
             self.old, self.known = self.known, {}
-        self.known.update(found if max(map(len, new)) <= 64 else {w: v for w, v in found.items() if len(w) <= 64})
+        self.known.update(kept)
         return [found[w] if v is None else v for w, v in zip(words, out, strict=True)]
 
     def _ids(self, new: list[bytes]) -> dict[bytes, bytes]:
