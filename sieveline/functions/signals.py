@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,8 @@ def lexicons() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
 
 def hits(text: Column, phrases: list[str]) -> Column:
     """Non-overlapping occurrences of each phrase, added up; phrases may overlap each other."""
-    words = F.array(*map(F.lit, phrases))
-    count = lambda n, p: n + F.floor((F.length(text) - F.length(F.replace(text, p, F.lit("")))) / F.length(p)).cast("int")
-    return F.aggregate(words, F.lit(0), count)
+    count = lambda p: F.when(F.contains(text, F.lit(p)), ((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)).cast("int")).otherwise(0)
+    return reduce(add, map(count, phrases), F.lit(0))
 
 
 def flag(condition: Column) -> Column:
@@ -42,8 +42,12 @@ def lookalike(host: Column, legit: list[str], tokens: list[str]) -> Column:
 
 
 def link_signals(text: Column, shorteners=None, tlds=None, legit=None, tokens=None) -> dict[str, Column]:
-    """The domain sets are parameters."""
-    hosts, n = T.domains(text), F.regexp_count(text, F.lit(T.URL))
+    """The domain sets are parameters. `text` is the raw text, or the array of its URLs beside it: see with_signals."""
+    return link_flags(T.urls(text), text, shorteners, tlds, legit, tokens)
+
+
+def link_flags(urls: Column, text: Column, shorteners=None, tlds=None, legit=None, tokens=None) -> dict[str, Column]:
+    hosts, n = T.hosts_of(urls), F.size(urls)
     ends = F.lit("(?:" + "|".join(t.replace(".", r"\.") for t in tlds or R.SUSPICIOUS_TLDS) + ")$")
     return {
         "url_present": flag(n > 0),
@@ -70,8 +74,7 @@ def entity_signals(norm: Column) -> dict[str, Column]:
 def wording_signals(norm: Column) -> dict[str, Column]:
     words, brands = lexicons()
     out = {f"lex_{k}": hits(norm, v).cast("double") for k, v in words.items()}
-    out["otp_asks_not_provides"] = flag((out["lex_asks_for_code"] > 0) & (out["lex_provides_code"] == 0))
-    out["brand_mention"] = sum((flag(F.exists(F.array(*map(F.lit, v)), lambda p: F.contains(norm, p))) for v in brands.values()), F.lit(0.0))
+    out["brand_mention"] = reduce(add, (flag(reduce(or_, (F.contains(norm, F.lit(p)) for p in v))) for v in brands.values()))
     return out
 
 
@@ -97,8 +100,9 @@ def with_signals(df: DataFrame, text_col: str = "text", signals_on: str = "raw")
     first = df.withColumn("_norm", T.normalise(raw))
     norm = F.col("_norm")
     source = raw if signals_on == "raw" else norm
-    made = link_signals(source) | entity_signals(norm) | wording_signals(norm) | shape_signals(source, norm)
+    first = first.withColumn("_urls", T.urls(source))  # three signals look at the hosts
+    made = link_flags(F.col("_urls"), source) | entity_signals(norm) | wording_signals(norm) | shape_signals(source, norm)
     plain = first.withColumns(made)
     brand = F.col("brand_mention") > 0
-    joint = {"brand_and_link": flag(brand & (F.col("url_present") > 0)), "brand_and_lookalike": flag(brand & (F.col("url_brand_lookalike") > 0)), "brand_and_urgency": flag(brand & (F.col("lex_urgency") > 0))}
+    joint = {"otp_asks_not_provides": flag((F.col("lex_asks_for_code") > 0) & (F.col("lex_provides_code") == 0)), "brand_and_link": flag(brand & (F.col("url_present") > 0)), "brand_and_lookalike": flag(brand & (F.col("url_brand_lookalike") > 0)), "brand_and_urgency": flag(brand & (F.col("lex_urgency") > 0))}
     return plain.withColumns(joint).select(*df.columns, *R.FEATURES)

@@ -43,12 +43,13 @@ def strip_marks(text: Column) -> Column:
 
 
 def compatible(text: Column) -> Column:
-    """NFKC of each character by itself: a translation, and a look at each character only where one expands to several."""
+    """NFKC of each character by itself: a translation, and a look at each character only where one expands to several. ASCII stays."""
     source, target, longer = R.compatibility()
     table = F.expr("str_to_map('{}', '\\u0001', '\\u0002')".format("\\u0001".join(f"{_literal(k)}\\u0002{_literal(v)}" for k, v in longer.items())))
-    single = F.translate(text, source, target)
-    spread = F.array_join(F.transform(chars(text), lambda c: F.coalesce(F.element_at(table, c), F.translate(c, source, target))), "")
-    return F.when(F.rlike(text, F.lit(R.character_class(longer))), spread).otherwise(single)
+    single = lambda t: F.translate(t, source, target)
+    spread = lambda t: F.array_join(F.transform(chars(t), lambda c: F.coalesce(F.element_at(table, c), single(c))), "")
+    expands = lambda t: F.rlike(t, F.lit(R.character_class(longer)))
+    return once(text, lambda t: F.when(F.octet_length(t) == F.length(t), t).when(expands(t), spread(t)).otherwise(single(t)))
 
 
 def _literal(text: str) -> str:
@@ -98,11 +99,20 @@ def romanise(text: Column, style: str = "ascii") -> Column:
     return text
 
 
+def urls(text: Column) -> Column:
+    """The URLs of the text; the pattern is only tried on texts that hold a dot or a scheme, without which it can't fit."""
+    return F.when(F.contains(text, F.lit(".")) | F.contains(text, F.lit("://")), F.regexp_extract_all(text, F.lit(URL), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def domains(text: Column) -> Column:
     """The hosts of the text's URLs: no scheme, path, port or leading www., lower case."""
+    return hosts_of(urls(text))
+
+
+def hosts_of(found: Column) -> Column:
 
     def host(url: Column) -> Column:
         bare = F.lower(F.regexp_replace(url, "(?i)^https?://", ""))
         return F.regexp_replace(F.substring_index(F.substring_index(bare, "/", 1), ":", 1), r"^www\.", "")
 
-    return F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), host)
+    return F.transform(found, host)

@@ -8,14 +8,10 @@ from pyspark.sql.window import Window
 
 from sieveline.functions import resources as R
 
-#: Up to so many terms, the model is broadcast.
-MOST_TERMS = 200_000
-
 
 def contributions(features: DataFrame, model: DataFrame) -> DataFrame:
-    """doc, term, value, weight, contribution."""
-    side = F.broadcast(model) if model.count() <= MOST_TERMS else model
-    return features.join(side, "term").withColumn("contribution", F.col("value") * F.col("weight"))
+    """doc, term, value, weight, contribution. Whether the model is broadcast is left to its size as Spark finds it when it runs."""
+    return features.join(model, "term").withColumn("contribution", F.col("value") * F.col("weight"))
 
 
 def scores(docs: DataFrame, parts: DataFrame, intercept: float) -> DataFrame:

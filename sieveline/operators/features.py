@@ -33,9 +33,12 @@ def word_grams(text: Column, bigrams: bool = True) -> Column:
     tokens = F.regexp_extract_all(F.lower(text), F.lit(T.WORD + "{2,}"), F.lit(0))
     if not bigrams:
         return tokens
-    n = F.size(tokens)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))
-    return F.when(n > 1, F.concat(tokens, pairs)).otherwise(tokens)
+
+    def with_pairs(own: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.concat_ws(" ", F.get(own, i - 1), F.get(own, i)))
+        return F.when(F.size(own) > 1, F.concat(own, pairs)).otherwise(own)
+
+    return T.once(tokens, with_pairs)
 
 
 def term_counts(docs: DataFrame, id_col: str, grams: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from sieveline.operators import metrics as M
 from sieveline.operators import model as L
 from sieveline.operators import perturb as V
 from sieveline.operators import splits as S
+from sieveline.sources.stored import stash
 from sieveline.plans.fixtures import MESSAGES, PREDICTIONS, TURNS, draw_sql, messages, predictions, table, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,10 +44,7 @@ def listed(*values: str) -> str:
 
 # Patterns as DuckDB takes them
 
-_URL = rf"(?i)(?:https?://|www\.)[^\s<>\"'']+|\b(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{R.TLDS})(?:/[^\s<>\"'']*)?"
-_PHONE = r"(?:(?:\+|00)\s?964[\s\-.]?|0)\s?7[5789][\s\-.]?\d[\s\-.]?\d{3}[\s\-.]?\d{4}"
-_CUR = "|".join(R.CURRENCIES)
-_MONEY = rf"(?i)\d[\d,،.\s]{{0,15}}\d\s*(?:{_CUR})\b|\b(?:{_CUR})\s*\d[\d,،.\s]{{0,15}}\d"
+_URL, _PHONE, _MONEY = R.URL_PATTERN.replace("'", "''"), R.PHONE_PATTERN, R.MONEY_PATTERN
 
 
 def _normalised(t: str) -> str:
@@ -167,7 +165,7 @@ def word_vocabulary(spark, sf_dir):
 SELECT doc, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)), 7) AS value FROM r""")
 def word_tfidf(spark, sf_dir):
     docs = turns(spark, sf_dir)
-    counts = X.term_counts(docs, "doc", X.word_grams(F.col("text")))
+    counts = stash(X.term_counts(docs, "doc", X.word_grams(F.col("text"))))
     return X.tfidf(counts, X.idf(X.vocabulary(counts), docs.count())).withColumn("value", F.round("value", 7))
 
 
@@ -321,8 +319,9 @@ _PARTS = _WORDS + f", m AS ({_MODEL}), x AS (SELECT doc, c.term, tf::DOUBLE AS v
 def _scored(spark, sf_dir):
     docs = turns(spark, sf_dir)
     counts = X.term_counts(docs, "doc", X.word_grams(F.col("text"))).select("doc", "term", F.col("tf").cast("double").alias("value"))
+    counts = stash(counts)  # for the model, the scores and the reasons
     weights = counts.select("term").distinct().select("term", ((S.draw("w", F.col("term")) % 2001 - 1000) / 1000).alias("weight"))
-    parts = E.contributions(counts, weights)
+    parts = stash(E.contributions(counts, weights))
     return parts, E.scores(docs, parts, 0.1).withColumn("score", F.round("score", 9))
 
 
