@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import language, mixing, packing, shingles, suffix_dedup
 from sieveline.llm.common import stash, table
+from sieveline.sources.stored import settled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,6 +71,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:  # what a stage stored on the way goes with its result
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
