@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
-import uuid
 import zipfile
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveline.sources.stored import shared_dir, stash  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,36 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Unset, only a local session gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{own_dir()}"
-
-
-@lru_cache(1)
-def own_dir() -> str:
-    """A folder of this process, gone when it ends."""
-    path = f"/tmp/checkpoints/sieveline-{os.getpid()}"
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation.
-
-    An empty frame keeps its schema.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def utf8(column) -> list[bytes]:
     """The values of an Arrow string column as UTF-8, nulls as empty ones."""
     import pyarrow as pa
@@ -91,11 +58,12 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "sieveline_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(path))
+    with tempfile.TemporaryDirectory() as folder:  # Spark takes a copy
+        path = Path(folder) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(path))
     context.sieveline_shipped = True
 
 
