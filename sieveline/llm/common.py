@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -58,12 +60,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "sieveline_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:  # Spark takes a copy
-        path = Path(folder) / f"{package.name}.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        context.addPyFile(str(path))
+    folder = tempfile.mkdtemp()  # the driver serves the file from there until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
     context.sieveline_shipped = True
 
 
