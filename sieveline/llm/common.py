@@ -70,7 +70,12 @@ def ship(spark: SparkSession) -> None:
     context.sieveline_shipped = True
 
 
+#: Bytes of rows that a worker gets at once: by default Spark counts rows alone, of which a few may be very long.
+BATCH_BYTES = 4 << 20
+
+
 def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow, with this package at hand."""
+    """mapInArrow, with this package at hand and batches bounded in bytes (a setting of the session)."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)

@@ -30,7 +30,7 @@ MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts whose ids must be those of their parts, one after the other.
 FITTING = {"The cat, (it's) 12 MEN... don't": ["the", "cat", ",", "(", "it", "'s", ")", "1", "2", "men", "...", "don", "'t"], "x\n\n y\tZ": ["x", "y", "z"], "a-b, c": ["a", "-", "b", ",", "c"]}
 #: Bytes of text that are encoded at once.
-RUN = 1 << 22
+RUN = 1 << 21
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
@@ -44,7 +44,7 @@ class WordTokens:
     Words of over 64 bytes are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
