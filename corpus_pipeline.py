@@ -21,9 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those too unlike all languages for their size; lang becomes the language told, `und` if none is trained."""
     prototypes = language.train(docs)
-    found = stash(language.predict(docs, prototypes, keep=("lang", "source", "n_chars"), with_text=True, with_size=True))
+    least = language.thresholds(language.predict(docs, prototypes, keep=("lang",), with_size=True)) if prototypes else {}
+    found = language.predict(docs, prototypes, keep=("lang", "source", "n_chars"), with_text=True, with_size=True)  # once more: no text is stored
     found = found.withColumn("bin", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
-    least = language.thresholds(found) if prototypes else {}
     sure = F.lit(True)
     for size, score in least.items():
         sure = sure & ((F.col("bin") != size) | (F.col("score") >= score))
