@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieveline.sources.stored import shared_dir, stash  # noqa: F401
 
@@ -54,6 +55,24 @@ def slices(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
+#: A key is hot if it holds more than this share of all rows, and more rows than the least.
+HOT_SHARE, HOT_LEAST = 1024, 1024
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `values`, one row per key, in a way that no hot key is one task.
+
+    Keys with more than 1/1024 of all rows are 1023 at most, so their values are broadcast whatever the size of the data; the other
+    rows are joined as usual. Both frames are read twice and should be stored. Keys are integers.
+    """
+    n = rows.count()
+    hot = [r[0] for r in rows.groupBy(key).count().filter(F.col("count") > max(HOT_LEAST, n // HOT_SHARE)).filter(F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(values, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(~is_hot).join(values, key, how).unionByName(rows.filter(is_hot).join(F.broadcast(values.filter(is_hot)), key, how))
+
+
 def ship(spark: SparkSession) -> None:
     """Let the driver's file server give this package to all Python workers, once a session."""
     context = spark.sparkContext

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import simhash
-from sieveline.llm.common import mapped, ship, stash, utf8
+from sieveline.llm.common import looked_up, mapped, ship, stash, utf8
 
 WIDTH, BANDS, ROWS, PART = 5, 40, 7, 128
 
@@ -90,9 +90,10 @@ def similar(sets: list[np.ndarray]) -> list[int]:
 def groups(rows: DataFrame, most: int = 1 << 22) -> DataFrame:
     """row, component. `rows`: row (a key; rows that share it hold the same text) and text."""
     spark, own = rows.sparkSession, stash(profiles(rows))
-    of_row = own.select("row", "same").distinct()
+    of_row = stash(own.select("row", "same").distinct())
     near = simhash.near_duplicates(rows, id_col="row").filter("doc_id != component_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("other")).distinct()
-    edges = near.join(of_row, "row").select("other", F.col("same").alias("a")).join(of_row.select(F.col("row").alias("other"), F.col("same").alias("b")), "other").select("a", "b")
+    near = stash(near.join(of_row, "row").select("other", F.col("same").alias("a")).distinct())  # copies are one, near copies may name one other
+    edges = looked_up(near, of_row.select(F.col("row").alias("other"), F.col("same").alias("b")), "other").select("a", "b")
     held = stash(own.select("same", F.explode("bands").alias("key")).distinct())
     least = held.groupBy("key").agg(F.min("same").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
     edges = edges.unionByName(held.join(least, "key").select(F.col("same").alias("a"), "b"))
@@ -116,4 +117,5 @@ def groups(rows: DataFrame, most: int = 1 << 22) -> DataFrame:
         final = simhash.components(linked)
     else:  # each coarse group was solved at once
         final = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return of_row.join(final, of_row["same"] == final["node"], "left").select("row", F.coalesce("root", "same").alias("component"))
+    final = final.withColumnRenamed("node", "same")
+    return looked_up(of_row, final, "same", "left").select("row", F.coalesce("root", "same").alias("component"))

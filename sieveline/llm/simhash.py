@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import mapped, ship, slices, stash, utf8
+from sieveline.llm.common import looked_up, mapped, ship, slices, stash, utf8
 
 PART = 1 << 16
 
@@ -184,8 +184,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     members = groups.join(distinct, groups["node"] == distinct["print"]).select("node", "root", "least")
     first = members.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = members.join(first, "root").select("node", "component_id")
-    of_print = distinct.join(moved, distinct["print"] == moved["node"], "left").select(F.col("print").alias("own_print"), F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(of_print, own["print"] == of_print["own_print"]).select("doc_id", "print", "component_id")
+    of_print = stash(distinct.join(moved, distinct["print"] == moved["node"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")))
+    return looked_up(own, of_print, "print").select("doc_id", "print", "component_id")
 
 
 def as_text(prints: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sieveline.llm import knn, language, mixing, packing, quality, shingles, simhash, suffix_dedup, syncmers, toxicity, url_rules
+from sieveline.llm import common, knn, language, mixing, packing, quality, shingles, simhash, suffix_dedup, syncmers, toxicity, url_rules
 from sieveline.llm.suffix_array import repeats, suffix_array
 
 DOCS = "doc_id long, text string, source string, lang string, key long, hash string"
@@ -562,3 +562,24 @@ def test_syncmers_keep_every_anchor(spark):
     assert got[0]["near_next"] == pytest.approx(len(shared) / len(a.keys() | b.keys())) and got[0]["near_next"] > 0
     own = {x["hash"] for x in got[0]["edited_anchors"]}
     assert got[0]["near_edited"] == pytest.approx(len(own & a.keys()) / len(own | a.keys()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_looked_up_apart(spark, monkeypatch, how):
+    """Hot, rare, absent and null keys; the result is that of a plain join."""
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    rows = spark.createDataFrame([(7, i) for i in range(500)] + [(8, i) for i in range(40)] + [(9, 1), (11, 2), (None, 3)], "key long, n long")
+    values = spark.createDataFrame([(7, "a"), (9, "b"), (10, "c")], "key long, v string")
+    found = common.looked_up(rows, values, "key", how)
+    assert found.columns == rows.join(values, "key", how).columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(values, "key", how).collect()))
+    assert common.looked_up(rows.limit(0), values, "key", how).count() == 0
+
+
+def test_copies_of_one_text_keep_one_component(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    text = "one and the same sentence of some words"
+    rows = [(i, text) for i in range(100, 400)] + [(i, None) for i in range(50)] + [(None, text), (1000, "quite another text of other words here")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"] is None or 100 <= r["doc_id"] < 400, r["component_id"]) for r in found if r["doc_id"] != 1000} == {(True, 100), (False, 0)}
