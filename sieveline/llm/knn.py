@@ -1,15 +1,18 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Pivots are vectors of the data (a bounded sample); data are assigned to their nearest pivot. The cells' summaries, the radius and
-the k + 1 smallest distances of distinct ids to the pivot, give every query q a bound that its k-th best score reaches: with |x - p| <= d,
-q.x >= q.p - |q| d. The other way round an object at the distance d from the pivot p scores q.p + |q| d at most, so a query needs from
-a cell only objects at least (bound - q.p) / |q| away from the pivot. Queries are grouped by cell (large cells are split and
-small ones joined), a group keeps the smallest such distance for each cell, and an object is replicated only to the groups whose
-distance it reaches. Objects are also dealt into chunks by a hash of their id, so that a cell of copies is no hot task. Each
-(group, chunk) is solved on its own by exact integer scores, and the best k of a query's chunks remain.
-
-The groups' distances are a table of `pivots` numbers a group. It is broadcast for `block` groups at a time (8 MB at most), so
-queries of any number are answered block by block.
+Pivots are vectors of the data, about 2 sqrt(rows) of them; data are assigned to their nearest pivot and stored with the distance and
+the angle to it. The cells' summaries, the k + 1 smallest distances of distinct ids, give every query q a bound that its k-th best score
+reaches: with |x - p| <= d, q.x >= q.p - |q| d. The other way round an object at the distance d and the angle a from the pivot p scores
+q.p + |q| d at most, and |q| |x| cos(angle(q, p) - a). So a query needs from a cell only objects that are at least (bound - q.p) / |q|
+away and turned from the pivot by at least angle(q, p) - arccos(bound / (|q| |x|)), with the largest |x| of the cell. Queries are grouped by cell (large
+cells are split, small ones joined with near ones), a group keeps the smallest such distance and angle of each cell that can hold one,
+and an object is sent only to the groups that it may serve, dealt there into chunks by a hash of its row, so that a cell of copies is no hot
+task. Queries go to the chunks of their own group alone. Each (group, chunk) is solved by exact integer scores, and the best k of a
+query's chunks remain.
+
+The reaches are a table of (group, cell); it is broadcast while it is small, else joined by cell and salt. Only pivots and summaries, about
+sqrt(rows) of them, are on the driver. Vectors of high dimension without clusters can't be pruned by any such bound: each group then
+needs nearly all objects, and the join costs as much as comparing all.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as filled up with zeros;
 ties go to the smaller id; equal ids never match each other; rows of the data that repeat count once each, those of a query id
@@ -19,12 +22,17 @@ are answered once; fewer than k candidates are all returned; empty tables give n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.llm.common import mapped, slices
+from sieveline.llm.common import mapped, stash
+
+#: Relative error that floats are given.
+SLACK = 1e-9
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -33,15 +41,14 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.filter(fit & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def matrix(lists, width: int) -> np.ndarray:
-    """Integer rows of at least `width` columns, filled up with zeros."""
-    sizes = {len(x) for x in lists}
-    width = max(width, *sizes) if sizes else width
-    if sizes == {width}:
-        return np.asarray([np.asarray(x, np.int64) for x in lists])
-    out = np.zeros((len(lists), width), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def matrix(column, width: int) -> np.ndarray:
+    """The integer lists of an Arrow column as rows of at least `width` columns, filled up with zeros."""
+    if hasattr(column, "combine_chunks"):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    width = max(width, int(sizes.max(initial=0)))
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = column.flatten().to_numpy()
     return out
 
 
@@ -56,136 +63,143 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def near_pivot(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell, distance to its pivot, and inner products with all pivots, as floats."""
-    width = max(v.shape[1], pivots.shape[1])
-    x, p = (np.pad(y.astype(float), ((0, 0), (0, width - y.shape[1]))) for y in (v, pivots))
-    dots = x @ p.T
-    far = (p * p).sum(1)[None, :] - 2 * dots
-    cell = far.argmin(1)
-    return cell, np.sqrt(((x - p[cell]) ** 2).sum(1)), dots
-
-
-def knn(queries: DataFrame, data: DataFrame, k: int, pivots: int = 128, group_rows: int = 1024, chunk_rows: int = 4096, block: int = 4096) -> DataFrame:
-    """query_id, rank, id, score. Both frames: id long, v array<long>."""
-    empty = data.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
-    some = data.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    if not some:
-        return empty
-    centres = matrix([r["v"] for r in some], 0)
-    width = centres.shape[1]
-
-    def arrow(batch, *names):
-        return [batch.column(n) for n in names]
-
-    def summed(batches):
-        import pyarrow as pa
-
-        best = {}
-        for batch in batches:
-            if batch.num_rows:
-                cell, d, _ = near_pivot(matrix(batch.column("v").to_pylist(), width), centres)
-                ids = batch.column("id").to_numpy()
-                for c in np.unique(cell).tolist():
-                    own, least, most = cell == c, *best.get(c, ({}, 0.0))
-                    for x, i in sorted(zip(d[own].tolist(), ids[own].tolist(), strict=True)):
-                        if len(least) > k and x > max(least.values()):
-                            break
-                        least[i] = min(x, least.get(i, x))
-                        if len(least) > k + 1:
-                            del least[max(least, key=lambda j: (least[j], j))]
-                    best[c] = least, max(most, float(d[own].max()))
-        rows = [(c, x, i, most) for c, (least, most) in best.items() for i, x in least.items()]
-        kinds = zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.float64(), pa.int64(), pa.float64()), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in kinds], ["cell", "d", "id", "radius"])
-
-    # an id counts once in a cell, and once in all of them below, so that the copies of a query take one place
-    each = mapped(data, summed, "cell int, d double, id long, radius double").groupBy("cell", "id").agg(F.min("d").alias("d"), F.max("radius").alias("radius"))
-    cells = each.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("least"), F.max("radius").alias("radius")).orderBy("cell").collect()
-    seen = set()
-    least, radius = np.full((len(centres), k + 1), np.inf), np.zeros(len(centres))
-    for r in cells:
-        own = [x["d"] for x in r["least"] if x["id"] not in seen]
-        seen |= {x["id"] for x in r["least"]}
-        least[r["cell"], : len(own)], radius[r["cell"]] = own, r["radius"]
+class Cells:
+    """What every task knows of the cells: the pivots and, once they are measured, the summaries."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres, self.norm = centres.astype(float), np.sqrt((centres.astype(float) ** 2).sum(1))
+        self.width = centres.shape[1]
+
+    def products(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products with all pivots, and norms."""
+        x = v.astype(float)
+        return x[:, : self.width] @ self.centres.T, np.sqrt((x * x).sum(1))
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cell, distance to its pivot, angle to it and norm."""
+        dots, norm = self.products(v)
+        cell = ((self.norm**2)[None, :] - 2 * dots).argmin(1)
+        x, own = v.astype(float), np.arange(len(v))
+        d = np.sqrt(((x[:, : self.width] - self.centres[cell]) ** 2).sum(1) + (x[:, self.width :] ** 2).sum(1))
+        return cell, d, angles(dots[own, cell], norm, self.norm[cell], np.pi), norm
+
+    def order(self) -> np.ndarray:
+        """The cells, near ones side by side: halved again and again across the longest axis."""
+        todo, out = [np.arange(len(self.centres))], []
+        while todo:
+            own = todo.pop()
+            if len(own) > 1 and self.width:
+                apart = self.centres[own] - self.centres[own].mean(0)
+                own = own[np.argsort(apart @ np.linalg.eigh(apart.T @ apart)[1][:, -1], kind="stable")]
+                todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+            else:
+                out.append(own)
+        return np.concatenate(out)
+
+    def reach(self, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least distance and the least angle, by cell, that an object has which one of the queries v may need."""
+        d, angle = np.full(len(self.centres), np.inf), np.full(len(self.centres), np.inf)
+        for at in range(0, len(v), 32):
+            dots, norm = self.products(v[at : at + 32])
+            reached, norm = norm[:, None, None] * self.least[None], norm[:, None]
+            low = (dots[:, :, None] - reached - SLACK * (norm * self.norm[None])[:, :, None] - SLACK * reached).reshape(len(dots), -1)
+            # one of the k + 1 best may be the query itself
+            bound = (np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(low), -np.inf))[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = (bound - dots) / norm
+                need = need - SLACK * (np.abs(bound) / norm + self.norm[None]) - 1e-6
+                share = bound / (norm * self.longest[None])
+            need = np.where((norm > 0) & np.isfinite(bound), need, -np.inf)
+            open_ = (norm == 0) | ~(bound > 0)
+            turn = angles(dots, norm, self.norm[None], -np.inf) - np.arccos(np.clip(np.where(open_, 0, share), 0, 1)) - 1e-6
+            turn = np.where(open_, -np.inf, np.where(share > 1 + SLACK, np.inf, turn))
+            d, angle = np.minimum(d, need.min(0)), np.minimum(angle, turn.min(0))
+        return d, angle
+
+
+def angles(dots: np.ndarray, a: np.ndarray, b: np.ndarray, none: float) -> np.ndarray:
+    """Angles from inner products and norms; `none` where a norm is zero."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((a > 0) & (b > 0), np.arccos(np.clip(np.nan_to_num(dots / (a * b)), -1, 1)), none)
+
+
+def pivots_of(data: DataFrame, count: int):
+    """About `count` distinct vectors, those of the least hashes; only hashes are shuffled to find them. Null if there are none."""
+    mark = F.xxhash64("v").alias("mark")
+    some = data.select(mark).distinct().orderBy("mark").limit(count)
+    found = data.select(mark, "v").join(F.broadcast(some), "mark").groupBy("mark").agg(F.min("v").alias("v")).orderBy("mark").select("v").toArrow()
+    return matrix(found.column("v"), 0) if found.num_rows else None
+
+
+def knn(queries: DataFrame, data: DataFrame, k: int, pivots: int | None = None, group_rows: int = 1024, chunk_rows: int = 4096, most: int = 500_000, salt_rows: int = 1 << 16) -> DataFrame:
+    """query_id, rank, id, score. Both frames: id long, v array<long>. most: rows of the table of reaches that are broadcast."""
+    import pyarrow as pa
+
+    spark = data.sparkSession
+    total = data.count()
+    centres = pivots_of(data, pivots or max(128, 2 * math.isqrt(total)))
+    if centres is None:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
+    known = Cells(centres)
 
     def dealt(batches):
-        import pyarrow as pa
-
         for batch in batches:
             if batch.num_rows:
-                cell, d, _ = near_pivot(matrix(batch.column("v").to_pylist(), width), centres)
-                yield pa.RecordBatch.from_arrays([*arrow(batch, "id", "v"), pa.array(cell, pa.int32()), pa.array(d)], ["id", "v", "cell", "d"])
-
-    in_cells = mapped(queries.dropDuplicates(["id"]), dealt, "id long, v array<long>, cell int, d double")
+                cell, d, angle, norm = known.place(matrix(batch.column(1), known.width))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d), pa.array(angle), pa.array(norm)], ["id", "v", "cell", "d", "angle", "norm"])
+
+    dealt_as = "id long, v array<long>, cell int, d double, angle double, norm double"
+    objects = stash(mapped(data.select("id", "v"), dealt, dealt_as).withColumn("row", F.monotonically_increasing_id()))
+    sizes = objects.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d"), F.max("angle").alias("angle"), F.max("norm").alias("norm")).collect()  # one row a pivot
+    held, radius, widest, longest = (np.zeros(len(centres)) for _ in range(4))
+    for r in sizes:
+        held[r["cell"]], radius[r["cell"]], widest[r["cell"]], longest[r["cell"]] = r["n"], r["d"], r["angle"], r["norm"]
+    # an id counts once in a cell, and once in all of them below, so that the copies of a query take one place
+    nearest = F.row_number().over(Window.partitionBy("cell").orderBy("d", "id"))
+    near = objects.groupBy("cell", "id").agg(F.min("d").alias("d")).withColumn("place", nearest).filter(F.col("place") <= k + 1).orderBy("cell", "place").collect()
+    seen, least = set(), np.full((len(centres), k + 1), np.inf)
+    for r in near:
+        if r["id"] not in seen:
+            seen.add(r["id"])
+            least[r["cell"], r["place"] - 1] = r["d"]
+    known.least, known.longest = least, longest
+
+    asking = stash(mapped(queries.select("id", "v").dropDuplicates(["id"]), dealt, dealt_as).select("id", "v", "cell"))
     count = np.zeros(len(centres), np.int64)
-    for r in in_cells.groupBy("cell").agg(F.count("*").alias("n")).collect():
+    for r in asking.groupBy("cell").agg(F.count("*").alias("n")).collect():
         count[r["cell"]] = r["n"]
-    if not count.sum():
-        return empty
-    # cells side by side on the pivots' main axis share a group
-    axis = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0] if width else np.zeros(0)
-    place = np.argsort(centres @ axis, kind="stable")
-    before = np.zeros(len(centres), np.int64)
+    place, before = known.order(), np.zeros(len(centres), np.int64)
     before[place] = np.cumsum(count[place]) - count[place]
-    groups, chunks = slices(int(count.sum()), group_rows), slices(data.count(), chunk_rows)
-    first, many = F.element_at(F.array(*map(F.lit, before.tolist())), F.col("cell") + 1), F.element_at(F.array(*map(F.lit, count.tolist())), F.col("cell") + 1)
-    grouped = in_cells.withColumn("part", F.floor((first + F.pmod(F.xxhash64("id"), F.greatest(many, F.lit(1)))) / group_rows).cast("int"))
-
-    def needed(batches):
-        import pyarrow as pa
-
-        reach = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = matrix(batch.column("v").to_pylist(), width)
-            _, _, dots = near_pivot(v, centres)
-            norm = np.sqrt((v.astype(float) ** 2).sum(1))
-            low = (dots[:, :, None] - norm[:, None, None] * least[None]).reshape(len(v), -1)
-            bound = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(v), -np.inf)  # one of them may be the query itself
-            with np.errstate(divide="ignore", invalid="ignore"):
-                apart = np.where(norm[:, None] > 0, (bound[:, None] - dots) / norm[:, None], -np.inf)
-            apart = np.where(np.isnan(apart), -np.inf, apart) * (1 - 1e-9 * np.sign(apart)) - 1e-6
-            part = batch.column("part").to_numpy()
-            for g in np.unique(part).tolist():
-                own = apart[part == g].min(0)
-                reach[g] = np.minimum(reach[g], own) if g in reach else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(reach), pa.int32()), pa.array([x.tolist() for x in reach.values()], pa.list_(pa.float64()))], ["part", "reach"])
-
-    out = None
-    for start in range(0, groups, block):
-        inside = grouped.filter(F.col("part").between(start, start + block - 1))
-        rows = mapped(inside, needed, "part int, reach array<double>").select("part", F.posexplode("reach").alias("cell", "d")).groupBy("part", "cell").agg(F.min("d").alias("d")).collect()
-        reach = np.full((min(block, groups - start), len(centres)), np.inf)
-        for r in rows:
-            reach[r["part"] - start, r["cell"]] = r["d"]
-
-        def replicated(batches, reach=reach, start=start):
-            import pyarrow as pa
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cell, d, _ = near_pivot(matrix(batch.column("v").to_pylist(), width), centres)
-                row, part = np.nonzero(d[:, None] >= reach[:, cell].T)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(part + start, pa.int32()), *arrow(taken, "id", "v")], ["part", "id", "v"])
-
-        objects = mapped(data, replicated, "part int, id long, v array<long>").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-        asked = inside.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("part", "chunk", "id", "v")
-
-        def solve(q, x):
-            import pandas as pd
-
-            if not len(q) or not len(x):
-                return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
-            x = x.sort_values("id", kind="stable")
-            ids, mine, out = x["id"].to_numpy(), q["id"].to_numpy(), []
-            vectors = matrix(list(x["v"]), width)
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(before.tolist(), np.maximum(count, 1).tolist(), held.astype(int).tolist(), strict=True))], "cell int, before long, many long, n long")
+    part = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), "many")) / group_rows).cast("int")
+    grouped = asking.join(F.broadcast(table), "cell").select(part.alias("part"), "id", "v")
+
+    def needed(key, group):
+        d, angle = known.reach(matrix(group.column("v"), known.width), k)
+        cell = np.flatnonzero((held > 0) & (d <= radius) & (angle <= widest))
+        return pa.table([pa.array(np.full(len(cell), key[0].as_py(), np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[cell]), pa.array(angle[cell])], ["part", "cell", "least_d", "least_angle"])
+
+    reach = stash(grouped.groupBy("part").applyInArrow(needed, "part int, cell int, least_d double, least_angle double"))
+    chunks = reach.join(F.broadcast(table), "cell").groupBy("part").agg(F.ceil(F.sum("n") / chunk_rows).cast("int").alias("chunks"))
+    reach = reach.join(chunks, "part")
+    if reach.count() <= most:
+        sent = objects.join(F.broadcast(reach), "cell")
+    else:  # large cells meet their groups in several tasks
+        salts = table.select("cell", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
+        sent = objects.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("row"), "salts").cast("int"))
+        sent = sent.join(reach.join(F.broadcast(salts), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["cell", "salt"])
+    sent = sent.filter((F.col("d") >= F.col("least_d")) & (F.col("angle") >= F.col("least_angle")))
+    sent = sent.select("part", F.pmod(F.xxhash64("row"), "chunks").cast("int").alias("chunk"), "id", "v")
+    asked = grouped.join(chunks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "v")
+
+    def solve(q, x):
+        out = [(np.zeros(0, np.int64),) * 3]
+        if len(q) and len(x):
+            x = x.sort_by("id")
+            ids, mine, vectors, own_v = x["id"].to_numpy(), q["id"].to_numpy(), matrix(x["v"], known.width), matrix(q["v"], known.width)
             for at in range(0, len(q), 256):
                 own = mine[at : at + 256]
-                s = scores(matrix(list(q["v"].iloc[at : at + 256]), width), vectors)
+                s = scores(own_v[at : at + 256], vectors)
                 other = own[:, None] != ids[None, :]
                 for i in range(len(own)):
                     can = np.flatnonzero(other[i])
@@ -194,13 +208,11 @@ def knn(queries: DataFrame, data: DataFrame, k: int, pivots: int = 128, group_ro
                         can = can[s[i, can] >= kth]
                     can = can[np.lexsort((ids[can], -s[i, can]))][:k]
                     out.append((np.full(len(can), own[i]), ids[can], s[i, can]))
-            a, b, c = (np.concatenate(y) for y in zip(*out, strict=True))
-            return pd.DataFrame({"query_id": a, "id": b, "score": c})
+        return pa.table([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], ["query_id", "id", "score"])
 
-        found = asked.groupBy("part", "chunk").cogroup(objects.groupBy("part", "chunk")).applyInPandas(solve, "query_id long, id long, score long")
-        out = found if out is None else out.unionByName(found)
+    found = asked.groupBy("part", "chunk").cogroup(sent.groupBy("part", "chunk")).applyInArrow(solve, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:

@@ -583,3 +583,31 @@ def test_copies_of_one_text_keep_one_component(spark, monkeypatch):
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(found) == len(rows)
     assert {(r["doc_id"] is None or 100 <= r["doc_id"] < 400, r["component_id"]) for r in found if r["doc_id"] != 1000} == {(True, 100), (False, 0)}
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_reaches_lose_no_near_vector(clusters):
+    """What a group does not need holds none of its queries' best; clustered vectors are mostly not needed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (3000, 24))
+    if clusters:
+        x = rng.normal(0, 4, (clusters, 24))[rng.integers(0, clusters, 3000)] + x / 20
+    x[:5] = 0
+    x = np.floor(256 * x).astype(np.int64)
+    known, k = knn.Cells(x[rng.choice(3000, 110, False)]), 5
+    cell, d, angle, norm = known.place(x)
+    known.least, known.longest = np.full((110, k + 1), np.inf), np.zeros(110)
+    for c in range(110):
+        own = np.sort(d[cell == c])[: k + 1]
+        known.least[c, : len(own)], known.longest[c] = own, norm[cell == c].max(initial=0)
+    shares = []
+    for at in range(0, 3000, 100):
+        group = np.argsort(np.argsort(known.order())[cell], kind="stable")[at : at + 8]
+        least_d, least_angle = known.reach(x[group], k)
+        needed = (d >= least_d[cell]) & (angle >= least_angle[cell])
+        shares.append(needed.mean())
+        s = knn.scores(x[group], x)
+        s[np.arange(len(group)), group] = np.iinfo(np.int64).min
+        kth = np.partition(s, -k, axis=1)[:, -k]
+        assert needed[(s >= kth[:, None]).any(0)].all()
+    assert np.mean(shares) < 0.3 or not clusters
