@@ -611,3 +611,20 @@ def test_reaches_lose_no_near_vector(clusters):
         kth = np.partition(s, -k, axis=1)[:, -k]
         assert needed[(s >= kth[:, None]).any(0)].all()
     assert np.mean(shares) < 0.3 or not clusters
+
+
+def test_knn_by_salted_cells(spark):
+    """Reaches too many to broadcast, cells in several tasks; rows that repeat count once each."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(0, 1, (200, 6)).round(2)
+    v[50:120] = v[50]
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(60, v[60].tolist())] * 3
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = {}
+    for q, r, i, s in collected(knn.top_k(df, lambda key: key % 25 == 0, 5, pivots=10, group_rows=2, chunk_rows=32, most=0, salt_rows=20)):
+        got.setdefault(q, {})[r] = (i, s)
+    whole, ids = np.floor(np.array([x for _, x in data], np.float32).astype(float) * 256).astype(np.int64), [i for i, _ in data]
+    for q in range(0, 200, 25):
+        s = whole @ whole[q]
+        want = sorted(((ids[j], s[j]) for j in range(len(ids)) if ids[j] != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert [got[q][r] for r in range(1, 6)] == want
