@@ -14,10 +14,14 @@ def contributions(features: DataFrame, model: DataFrame) -> DataFrame:
     return features.join(model, "term").withColumn("contribution", F.col("value") * F.col("weight"))
 
 
-def scores(docs: DataFrame, parts: DataFrame, intercept: float) -> DataFrame:
-    """doc, score, label for every document, also those without a known term."""
+def scores(docs: DataFrame, parts: DataFrame, intercept: float, digits: int | None = None) -> DataFrame:
+    """doc, score, label for every document, also those without a known term.
+
+    With `digits` the label is that of the rounded score, so a sum at the threshold doesn't depend on the order of its parts.
+    """
     sums = parts.groupBy("doc").agg(F.sum("contribution").alias("z"))
     score = 1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + intercept)))
+    score = score if digits is None else F.round(score, digits)
     return docs.select("doc").join(sums, "doc", "left").select("doc", score.alias("score")).withColumn("label", F.when(F.col("score") >= 0.5, "scam").otherwise("ham"))
 
 

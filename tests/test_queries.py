@@ -46,6 +46,23 @@ def test_augmented_corpus_takes_every_message(spark):
     assert found.select("seed_id").distinct().count() == registry.messages(spark, SMALL).count() == 1500
 
 
+@pytest.fixture(scope="module")
+def at_threshold(spark, tmp_path_factory):
+    """A conversation whose contributions add up to the threshold, but by doubles in any order to a little less."""
+    path = str(tmp_path_factory.mktemp("threshold"))
+    spark.createDataFrame([(1, 0, " ".join(["w033 w224"] * 36)), (2, 0, None)], "conv_id long, turn long, text string").write.parquet(path + "/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{path}/conversations.parquet/*.parquet'")
+    return path, con
+
+
+@pytest.mark.parametrize("name", ["relational_scores"])
+def test_label_is_that_of_the_rounded_score(spark, at_threshold, name):
+    path, con = at_threshold
+    got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.SQL[name]).df()
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
