@@ -56,7 +56,7 @@ def at_threshold(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["relational_scores"])
+@pytest.mark.parametrize("name", ["relational_scores", "top_reasons", "top_reasons_by_size"])
 def test_label_is_that_of_the_rounded_score(spark, at_threshold, name):
     path, con = at_threshold
     got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.SQL[name]).df()
