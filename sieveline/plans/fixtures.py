@@ -12,9 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by their key to all cores, whatever files and row groups they lie in: for work that is much dearer than to move a row."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, text, label (0, 1), grp: short messages with amounts, phones, links, phrases and companies."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = spread(rows.select("o_orderkey", "c_custkey", "o_orderpriority", "o_totalprice"), "o_orderkey")
     return rows.selectExpr("o_orderkey AS doc", MESSAGE + " AS text", "cast(o_orderkey % 3 = 0 AS int) AS label", "c_custkey % 50 AS grp")
 
 

@@ -372,9 +372,7 @@ def merged_spans(spark, sf_dir):
 
 @query()
 def traced_spans(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("doc", "text", traced.spans(F.col("text")).alias("spans"), traced.trace(F.col("text")).alias("t"))
-    labels = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["label"])))
-    return rows.select("doc", traced.merge_spans(F.col("spans")).alias("spans"), F.array_join(labels, ",").alias("fired"), F.size("t.offsets").alias("n"), traced.highlight(F.col("text"), F.col("spans")).alias("html"))
+    return messages(spark, sf_dir).select("doc", traced.marked(F.col("text")).alias("m")).select("doc", "m.spans", "m.fired", "m.n", "m.html")
 
 
 # Evasions and augmentation

@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sieveline.functions import traced
 from sieveline.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,6 +36,21 @@ def test_traced_spans_give_labels(spark):
     assert len(found) == 1500 and found.fired.str.contains("phone").all() and found.html.str.contains("<mark").all()
 
 
+def test_traced_spans_in_one_pass_over_all_cores(spark):
+    found = registry.traced_spans(spark, SMALL)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marked_is_spans_merged_and_highlighted(spark):
+    texts = [None, "", "  ", "<b>'zain' & \"korek\"</b> https://zain.com/a zaincash", "IQD 250,000 call 0750 123 4567", "ز\u200bیـــن ١٢٣٤٥ iqd ﷺ½", "act now act now", "no", "\U0001d7ce\U0001d7ce bit.ly/x"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    t, spans, own = F.col("text"), F.col("spans"), traced.marked(F.col("text"))
+    fired = F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    apart = df.withColumn("spans", traced.spans(t)).select(traced.merge_spans(spans).alias("spans"), fired.alias("fired"), F.size(traced.trace(t)["offsets"]).alias("n"), traced.highlight(t, spans).alias("html"))
+    assert df.select(own.alias("m")).select("m.*").collect() == apart.collect()
+
+
 def test_augmented_corpus(spark):
     found = registry.augmented_corpus(spark, SMALL).toPandas()
     assert not found.duplicated(["seed_id", "text"]).any()
