@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import traced
+from sieveline.operators import perturb
 from sieveline.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,6 +59,20 @@ def test_augmented_corpus(spark):
     assert found.groupby("seed_id").size().max() == 8
 
 
+def test_augmented_corpus_keeps_the_first_distinct_attempts_without_a_shuffle(spark):
+    rows = [("ar-1", "عزيزي زین کاش 250000 call 0750 123 4567 www.korek.com", "ham", "ar"), ("ckb-2", "", "scam", "ckb"), ("ckb-3", None, "ham", "ckb"), ("ar-4", "a", None, None)]
+    seeds = spark.createDataFrame(rows, "id string, text string, label string, lang string")
+    found = perturb.augment(seeds, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    tries = seeds.select("*", F.explode(F.sequence(F.lit(1), F.lit(48))).alias("i"))
+    made = tries.select("id", "i", perturb.attempt(F.col("text"), F.concat_ws("|", "id", "i"), F.col("lang"), F.col("label") == "scam").alias("made"))
+    got, made = found.collect(), made.orderBy("id", "i").collect()
+    for id_, text, *_ in rows:
+        want = list(dict.fromkeys([text, *(r.made for r in made if r.id == id_)]))[:4]
+        assert [r.text for r in sorted(got, key=lambda r: r.variant) if r.seed_id == id_] == want
+
+
 def test_augmented_corpus_takes_every_message(spark):
     found = registry.augmented_corpus(spark, SMALL)
     assert found.select("seed_id").distinct().count() == registry.messages(spark, SMALL).count() == 1500
