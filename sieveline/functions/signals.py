@@ -29,7 +29,14 @@ def lexicons() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
 def hits(text: Column, phrases: list[str]) -> Column:
     """Non-overlapping occurrences of each phrase, added up; phrases may overlap each other."""
     count = lambda p: F.when(F.contains(text, F.lit(p)), ((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)).cast("int")).otherwise(0)
-    return reduce(add, map(count, phrases), F.lit(0))
+    ascii_, others = [p for p in phrases if p.isascii()], [p for p in phrases if not p.isascii()]
+    wide = F.when(F.octet_length(text) > F.length(text), reduce(add, map(count, others), F.lit(0))).otherwise(0)  # in ASCII only phrases of ASCII fit
+    return reduce(add, map(count, ascii_), wide)
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """How many characters of the text fit the class; no array of them is made."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?U){characters}+", ""))
 
 
 def flag(condition: Column) -> Column:
@@ -60,9 +67,18 @@ def link_flags(urls: Column, text: Column, shorteners=None, tlds=None, legit=Non
 
 
 def entity_signals(norm: Column) -> dict[str, Column]:
-    phones, sums = F.regexp_count(norm, F.lit(T.PHONE)), F.regexp_extract_all(norm, F.lit(T.MONEY), F.lit(0))
-    digits = F.transform(sums, lambda m: F.length(F.regexp_replace(F.regexp_replace(m, r"(?U)[^\d]", ""), r"^0+", "")))
-    most = F.coalesce(F.array_max(digits), F.lit(0))
+    return entity_flags(*entities(norm))
+
+
+def entities(norm: Column) -> tuple[Column, Column]:
+    """How many phones, and the digits of each amount without leading zeros. Without a currency none fits, which is cheaper to see."""
+    phones = F.regexp_count(norm, F.lit(T.PHONE))
+    sums = F.when(F.rlike(norm, F.lit(T.CURRENCY)), F.regexp_extract_all(norm, F.lit(T.MONEY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return phones, F.transform(sums, lambda m: F.length(F.regexp_replace(F.regexp_replace(m, r"(?U)[^\d]", ""), r"^0+", "")))
+
+
+def entity_flags(phones: Column, sums: Column) -> dict[str, Column]:
+    most = F.coalesce(F.array_max(sums), F.lit(0))
     return {
         "phone_present": flag(phones > 0),
         "phone_count": phones.cast("double"),
@@ -79,14 +95,22 @@ def wording_signals(norm: Column) -> dict[str, Column]:
 
 
 def shape_signals(text: Column, norm: Column) -> dict[str, Column]:
+    return shape_ratios(text, norm, *scripts(text))
+
+
+def scripts(text: Column) -> tuple[Column, Column]:
+    """Characters of Arabic script and Latin letters."""
+    return count_of(text, ARABIC_SCRIPT), F.length(text) - F.length(F.regexp_replace(text, "(?iu)[a-z]+", ""))
+
+
+def shape_ratios(text: Column, norm: Column, arabic: Column, latin: Column) -> dict[str, Column]:
     n = F.greatest(F.length(text), F.lit(1))
-    arabic, latin = F.regexp_count(text, F.lit(ARABIC_SCRIPT)), F.regexp_count(text, F.lit("(?iu)[a-z]"))
     return {
         "length": F.length(text).cast("double"),
-        "digit_ratio": F.regexp_count(norm, F.lit(r"(?U)\d")) / F.greatest(F.length(norm), F.lit(1)),
-        "exclaim_count": F.regexp_count(text, F.lit("!")).cast("double"),
-        "punct_density": F.regexp_count(text, F.lit("[!?.,:*#]")) / n,
-        "upper_ratio": F.regexp_count(text, F.lit(r"(?U)\p{Upper}")) / n,
+        "digit_ratio": count_of(norm, r"\d") / F.greatest(F.length(norm), F.lit(1)),
+        "exclaim_count": count_of(text, "[!]").cast("double"),
+        "punct_density": count_of(text, "[!?.,:*#]") / n,
+        "upper_ratio": count_of(text, r"\p{Upper}") / n,
         "script_mix_ratio": F.when(arabic + latin > 0, F.least(arabic, latin) / (arabic + latin)).otherwise(0.0),
     }
 
@@ -100,8 +124,10 @@ def with_signals(df: DataFrame, text_col: str = "text", signals_on: str = "raw")
     first = df.withColumn("_norm", T.normalise(raw))
     norm = F.col("_norm")
     source = raw if signals_on == "raw" else norm
-    first = first.withColumn("_urls", T.urls(source))  # three signals look at the hosts
-    made = link_flags(F.col("_urls"), source) | entity_signals(norm) | wording_signals(norm) | shape_signals(source, norm)
+    phones, sums = entities(norm)
+    arabic, latin = scripts(source)
+    first = first.withColumns({"_urls": T.urls(source), "_phones": phones, "_sums": sums, "_arabic": arabic, "_latin": latin})  # each used by several signals
+    made = link_flags(F.col("_urls"), source) | entity_flags(F.col("_phones"), F.col("_sums")) | wording_signals(norm) | shape_ratios(source, norm, F.col("_arabic"), F.col("_latin"))
     plain = first.withColumns(made)
     brand = F.col("brand_mention") > 0
     joint = {"otp_asks_not_provides": flag((F.col("lex_asks_for_code") > 0) & (F.col("lex_provides_code") == 0)), "brand_and_link": flag(brand & (F.col("url_present") > 0)), "brand_and_lookalike": flag(brand & (F.col("url_brand_lookalike") > 0)), "brand_and_urgency": flag(brand & (F.col("lex_urgency") > 0))}
