@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import text as T
 from sieveline.functions import traced
 from sieveline.operators import perturb
 from sieveline.plans import registry
@@ -78,6 +79,24 @@ def test_augmented_corpus_takes_every_message(spark):
     assert found.select("seed_id").distinct().count() == registry.messages(spark, SMALL).count() == 1500
 
 
+def plan_of(spark, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_evasions_make_each_text_once(spark):
+    plan = plan_of(spark, "evasions")
+    assert plan.count("zw2|") + plan.count("zw2,") == 1 and "RepartitionByExpression" in plan
+
+
+def test_message_signals_look_for_amounts_once(spark):
+    plan = plan_of(spark, "message_signals")
+    assert plan.count(T.MONEY) == 1 and "RepartitionByExpression" in plan
+
+
 @pytest.fixture(scope="module")
 def at_threshold(spark, tmp_path_factory):
     """A conversation whose contributions add up to the threshold, but by doubles in any order to a little less."""
