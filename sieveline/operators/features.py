@@ -42,14 +42,19 @@ def word_grams(text: Column, bigrams: bool = True) -> Column:
 
 
 def term_counts(docs: DataFrame, id_col: str, grams: Column) -> DataFrame:
-    """doc, term, tf. Counted inside the row before rows are made, so that repeats never meet a shuffle."""
+    """doc, term, tf: a term once a document. Counted inside the row before rows are made, so that repeats never meet a shuffle.
+
+    Only where rows share an id are their counts added up.
+    """
 
     def counted(g: Column) -> Column:
         n = F.size(g)
         firsts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(g, i - 1) != F.get(g, i - 2))))
         return T.once(firsts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(g, a - 1).alias("term"), (F.coalesce(F.get(at, k + 1), n + 1) - a).alias("tf"))))
 
-    return docs.select(F.col(id_col).alias("doc"), F.explode(T.once(F.sort_array(grams), counted)).alias("t")).select("doc", "t.term", "t.tf")
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(T.once(F.sort_array(grams), counted)).alias("t")).select("doc", "t.term", "t.tf")
+    shared = docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return rows if shared.isEmpty() else rows.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, min_df: int = 2, most: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,6 +143,12 @@ def romanised(spark, sf_dir):
 
 # n-grams and TF-IDF
 
+
+def _by_character() -> Column:
+    """The text for n-grams: SQL's lower() takes each character by itself, the JVM's makes two of İ and a final sigma of Σ at the end of a word."""
+    return F.translate("text", "İΣ", "iσ")
+
+
 _WORDS = rf"""WITH t AS ({TURNS}), k AS (SELECT doc, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM t),
 g AS (SELECT doc, unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM k), c AS (SELECT doc, term, count(*) AS tf FROM g GROUP BY doc, term)"""
 _IDF = ", v AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM t)"
@@ -153,19 +159,19 @@ p AS (SELECT doc, ' ' || word || ' ' AS w, unnest(generate_series(2, 5)) AS n FR
 c AS (SELECT doc, substr(w, i, n) AS term, count(*) AS tf FROM s GROUP BY ALL)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 60000""")
 def char_vocabulary(spark, sf_dir):
-    return X.vocabulary(X.term_counts(turns(spark, sf_dir), "doc", X.char_grams(F.col("text"))), 2, 60_000).select("term", "df", F.col("total").cast("long").alias("total"))
+    return X.vocabulary(X.term_counts(turns(spark, sf_dir), "doc", X.char_grams(_by_character())), 2, 60_000).select("term", "df", F.col("total").cast("long").alias("total"))
 
 
 @query(_WORDS + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY term HAVING count(*) >= 2")
 def word_vocabulary(spark, sf_dir):
-    return X.vocabulary(X.term_counts(turns(spark, sf_dir), "doc", X.word_grams(F.col("text")))).select("term", "df", F.col("total").cast("long").alias("total"))
+    return X.vocabulary(X.term_counts(turns(spark, sf_dir), "doc", X.word_grams(_by_character()))).select("term", "df", F.col("total").cast("long").alias("total"))
 
 
 @query(_WORDS + _IDF + """, r AS (SELECT doc, c.term, (1 + ln(tf)) * (ln((1 + n.n) / (1 + df)) + 1) AS raw FROM c JOIN v ON c.term = v.term, n)
 SELECT doc, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)), 7) AS value FROM r""")
 def word_tfidf(spark, sf_dir):
     docs = turns(spark, sf_dir)
-    counts = stash(X.term_counts(docs, "doc", X.word_grams(F.col("text"))))
+    counts = stash(X.term_counts(docs, "doc", X.word_grams(_by_character())))
     return X.tfidf(counts, X.idf(X.vocabulary(counts), docs.count())).withColumn("value", F.round("value", 7))
 
 
@@ -318,7 +324,7 @@ _PARTS = _WORDS + f", m AS ({_MODEL}), x AS (SELECT doc, c.term, tf::DOUBLE AS v
 
 def _scored(spark, sf_dir):
     docs = turns(spark, sf_dir)
-    counts = X.term_counts(docs, "doc", X.word_grams(F.col("text"))).select("doc", "term", F.col("tf").cast("double").alias("value"))
+    counts = X.term_counts(docs, "doc", X.word_grams(_by_character())).select("doc", "term", F.col("tf").cast("double").alias("value"))
     counts = stash(counts)  # for the model, the scores and the reasons
     weights = counts.select("term").distinct().select("term", ((S.draw("w", F.col("term")) % 2001 - 1000) / 1000).alias("weight"))
     parts = stash(E.contributions(counts, weights))

@@ -114,6 +114,24 @@ def test_label_is_that_of_the_rounded_score(spark, at_threshold, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+@pytest.fixture(scope="module")
+def odd_turns(spark, tmp_path_factory):
+    """Turns with an id of their own or not, by a repeated key, by a turn beyond 999 and by null; capitals whose lower case depends on the engine."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    data = [(1, 0, "alpha beta gamma alpha"), (1, 0, "alpha delta beta gamma"), (2, 1000, "beta beta gamma"), (3, 0, "gamma beta delta"), (None, 0, "beta alpha"), (4, None, "beta alpha"), (5, 0, None), (6, 0, "İSTANBUL DİYAR İİ foo"), (7, 0, "ΟΔΟΣ ΣΑΣ Σ ΣΣ ΑΣ.")]
+    spark.createDataFrame(data, "conv_id long, turn long, text string").write.parquet(path + "/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{path}/conversations.parquet/*.parquet'")
+    return path, con
+
+
+@pytest.mark.parametrize("name", ["top_reasons", "top_reasons_by_size", "relational_scores", "word_vocabulary", "word_tfidf", "char_vocabulary"])
+def test_shared_ids_and_odd_capitals_equal_sql(spark, odd_turns, name):
+    path, con = odd_turns
+    got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.SQL[name]).df()
+    assert len(got) and rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
